@@ -1,6 +1,9 @@
 """The registered corpus queries."""
 
-from quern.llm import minhash
+from quern.llm import minhash, packing
 
-QUERIES = {"op3_minhash_near_dedup": minhash.op3}
+QUERIES = {
+    "op3_minhash_near_dedup": minhash.op3,
+    "op6_best_fit_packing": packing.op6,
+}
 ORACLES: dict[str, str] = {}
