@@ -1,9 +1,13 @@
 """The registered corpus queries."""
 
-from quern.llm import minhash, packing
+from quern.llm import cells, kneser_ney, minhash, packing, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op2_embedding_near_dedup": cells.op2,
     "op3_minhash_near_dedup": minhash.op3,
     "op6_best_fit_packing": packing.op6,
+    "op8_kneser_ney_scoring": kneser_ney.op8,
+    "op9_warc": warc.op9,
 }
 ORACLES: dict[str, str] = {}
