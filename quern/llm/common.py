@@ -87,3 +87,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, size=n, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, text, y) of at most n of labels (id, y): the first by a hash of their ids. They are chosen
+    before texts are read, so what is broadcast has n rows at most and no text is shuffled."""
+    chosen = labels.where("id is not null and y is not null").orderBy(F.xxhash64("id"), "id", "y").limit(n)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return own.join(F.broadcast(cut(chosen)), "id")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import bucket_of, session, table
+from quern.llm.common import bucket_of, labelled_sample, session, table
 
 
 @dataclass(frozen=True)
@@ -132,21 +132,21 @@ def fit_weights(rows: list[list[int]], y: np.ndarray, grades: tuple[float, ...],
     return Model(grades, p[:size], p[size] + np.concatenate([[0], np.cumsum(np.exp(p[size + 1 :]))]), s.bits)
 
 
-def fit(graded: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
-    """Fits on rows (id, text, grade) with a grade; grades are numbers, of any number of levels. With no rows
-    at all there is one grade, 0."""
-    session(graded.sparkSession)
-    rows = graded.where("grade is not null").select("id", F.col("text").cast("string").alias("text"), F.col("grade").cast("double").alias("grade"))
-    grades = tuple(sorted(r[0] for r in rows.select("grade").distinct().collect())) or (0.0,)
-    bits = settings.bits
+def fit(docs: DataFrame, grades: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
+    """Fits on documents (doc_id, text) that grades (id, y) knows; grades are numbers, of any number of levels.
+    With no graded document at all there is one grade, 0."""
+    session(docs.sparkSession)
+    rows = labelled_sample(docs, grades.select("id", F.col("y").cast("double").alias("y")), settings.sample)
+    bits, schema = settings.bits, "y double, f array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch_of("grade double, f array<int>", {"grade": b.column("grade"), "f": [hashed(t, bits) for t in b.column("text").to_pylist()]})
+            yield batch_of(schema, {"y": b.column("y"), "f": [hashed(t, bits) for t in b.column("text").to_pylist()]})
 
-    data = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample).mapInArrow(run, "grade double, f array<int>").collect()
-    at = {g: i for i, g in enumerate(grades)}
-    return fit_weights([r["f"] for r in data], np.array([at[r["grade"]] for r in data], dtype=np.int64), grades, settings)
+    data = rows.mapInArrow(run, schema).collect()  # feature numbers of at most `sample` rows
+    levels = tuple(sorted({r["y"] for r in data})) or (0.0,)
+    at = {g: i for i, g in enumerate(levels)}
+    return fit_weights([r["f"] for r in data], np.array([at[r["y"]] for r in data], dtype=np.int64), levels, settings)
 
 
 def score(docs: DataFrame, m: Model, keep_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,6 +172,6 @@ def held_out(doc_id: Column) -> Column:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grades of all documents; rows whose crc32 modulo 3 is 1 are never learned from."""
     docs = table(spark, sf_dir, "documents")
-    own = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("grade")).where("id is not null")
-    m = fit(docs.select(F.col("doc_id").alias("id"), "text").join(own.where(~held_out(F.col("id"))), "id"))
+    own = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    m = fit(docs, own.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")))
     return score(docs, m).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", "kept")
