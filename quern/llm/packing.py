@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -19,9 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.arrow import batch_of
 from quern.llm.common import cut, session, table
 
 CAPACITY = 1024
@@ -44,41 +47,53 @@ _PIECES = re.compile(
 _OTHER = re.compile("[^\x00-ɏ–—‘’“”•…€]")
 
 
-class Encoder:
+def _byte_signs() -> dict[int, int]:
+    """The sign that byte-level BPE writes for each byte: printable ones stand for themselves, the others
+    follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+class Encoder(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer encodes each pre-token by itself, so ids of pre-tokens are remembered (a bounded number of
-    them); texts with other characters, or with a special token's string, go to the tokenizer whole.
+    The tokenizer encodes each pre-token by itself, so ids of pre-tokens are remembered: up to `most` new ones
+    and as many older ones. Texts with other characters, or with a special token's string, go to the
+    tokenizer whole.
     """
 
-    most = 500_000
+    most = 100_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str | None) -> bytes:
+        self.signs = _byte_signs()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.signs))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _OTHER.search(text) or any(s in text for s in self.special):
-            return self._pack([text])[0]
-        pieces = _PIECES.findall(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            new = list({p for p in pieces if p not in known})
-            known.update(zip(new, self._pack(new), strict=True))
-            return b"".join(map(known.__getitem__, pieces))
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
 
 
 @lru_cache(maxsize=4)
@@ -89,28 +104,28 @@ def encoder(path: str) -> Encoder:
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where
     longer than capacity; of several pieces the first takes the remainder. A null text is an empty one."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = struct.pack("<I", end_id)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
+        for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(pdf["text"]):
+            for row, text in enumerate(b.column("text").to_pylist()):
                 ids = encode(text) + end
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity
                 cuts = [0, *range(first, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     at.append(row)
                     piece.append(k)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].take(at).array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+                    start.append(lo)
+                    length.append(hi - lo)
+                    crc.append(zlib.crc32(ids[4 * lo : 4 * hi]))
+            rows = b.column("doc_id").take(pa.array(at, type=pa.int64()))
+            yield batch_of(schema, {"doc_id": rows, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
-    )
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 # --- the plan -------------------------------------------------------------------------------------------
@@ -233,16 +248,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     size, r0, base, times, first = (where[c].to_numpy(dtype=np.int64) for c in ("size", "r0", "base", "times", "first"))
     columns = pieces.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = size * (1 << 48) + r0  # ranks stay far below 2**48
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy(dtype=np.int64), pdf["rank"].to_numpy(dtype=np.int64)
+        for b in batches:
+            length, rank = (np.array(b.column(c), dtype=np.int64) for c in ("length", "rank"))
             k = np.searchsorted(edge, length * (1 << 48) + rank, side="right") - 1
             d = rank - r0[k]
-            yield pdf[columns].assign(sequence_id=base[k] + d // times[k], offset=first[k] + d % times[k] * length)
+            arrays = [b.column(c) for c in columns] + [pa.array(base[k] + d // times[k]), pa.array(first[k] + d % times[k] * length)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(run, schema)
+    return ranked.mapInArrow(run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
