@@ -16,9 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.arrow import batch_of
 from quern.llm.common import U64, cut, mix, odd_constants, session, word_hashes
 from quern.llm.components import connected_components
 
@@ -113,23 +115,21 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, s: Scheme) -> DataFrame:
     """Rows (id, n, fp1, fp2, sig): the size of the shingle set, a 128-bit fingerprint of the set, and its
     registers. One pass over the texts, without a shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingles(t, s.words) for t in pdf["text"]]
-            regs = registers(sets, s.registers)
-            yield pd.DataFrame(
+    schema = "id long, n long, fp1 long, fp2 long, sig binary"
+    total = lambda xs: np.array([x.sum(dtype=U64) for x in xs], dtype=U64).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, s.words) for t in b.column("text").to_pylist()]
+            yield batch_of(
+                schema,
                 {
-                    "id": pdf["id"],
-                    "n": [len(x) for x in sets],
-                    "fp1": np.array([mix(x ^ U64(0xA5A5)).sum(dtype=U64) for x in sets], dtype=U64).view(np.int64),
-                    "fp2": np.array([mix(x + U64(0x5BD1E995)).sum(dtype=U64) for x in sets], dtype=U64).view(np.int64),
-                    "sig": [r.tobytes() for r in regs],
-                }
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        run, "id long, n long, fp1 long, fp2 long, sig binary"
-    )
+                    "id": b.column("id"), "n": [len(x) for x in sets], "fp1": total(mix(x ^ U64(0xA5A5)) for x in sets),
+                    "fp2": total(mix(x + U64(0x5BD1E995)) for x in sets), "sig": [r.tobytes() for r in registers(sets, s.registers)],
+                },
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _bands(reps: DataFrame, s: Scheme) -> DataFrame:
@@ -188,10 +188,30 @@ def _labelled(df: DataFrame, labels: DataFrame | None, on: str, name: str) -> Da
     return df.join(found, on, "left").withColumn(name, F.coalesce("_c", on)).drop("_c")
 
 
-def _blocked(members: DataFrame, sigs: DataFrame, s: Scheme) -> DataFrame:
-    """Candidate pairs of large buckets, (key, id, comp, c): members are dealt into blocks, each pair of
-    blocks is one group, and a group compares registers of members that are not yet connected. A group holds
-    2 * block members at most or so, whatever the size of the bucket."""
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y, as products of 0/1 matrices of
+    `width` shingles at a time."""
+    h, row = np.concatenate([*x, *y]), np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    distinct, col, n = np.unique(h, return_inverse=True, return_counts=True)
+    many = n[col] > 1  # what one set alone has counts for no pair
+    number = np.cumsum(n > 1) - 1
+    row, col = row[many], number[col[many]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        lo, hi = np.searchsorted(col, (start, start + width))
+        m = np.zeros((len(x) + len(y), width), dtype=np.float32)
+        m[row[lo:hi], col[lo:hi] - start] = 1
+        out += (m[: len(x)] @ m[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _blocked(members: DataFrame, sigs: DataFrame, texts: DataFrame, s: Scheme) -> DataFrame:
+    """Links within large buckets, (key, id, comp, c): members are dealt into blocks, and each pair of blocks
+    is one group, of 2 * block members or so whatever the size of the bucket. A group estimates the pairs of
+    different components and confirms the likely ones on full sets; what it emits is, for each document that
+    it links, the smallest one reached there, so rows grow with members and not with pairs."""
     dealt = (
         members.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("c") / s.block)).cast("int"))
         .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
@@ -199,25 +219,47 @@ def _blocked(members: DataFrame, sigs: DataFrame, s: Scheme) -> DataFrame:
         .withColumn("i", F.least("blk", "other"))
         .withColumn("j", F.greatest("blk", "other"))
         .join(sigs.select("id", "n", "sig"), "id")
+        .join(texts, "id")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), -1)
         ids, comp, n, blk = (pdf[c].to_numpy() for c in ("id", "comp", "n", "blk"))
-        cross = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        found = []
-        for k in range(len(pdf)):
-            ok = (comp != comp[k]) & (ids > ids[k]) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * s.percent)
-            if cross:
-                ok &= blk != blk[k]
-            (at,) = np.nonzero(ok)
-            if len(at):
-                est = estimate(regs[at], regs[k])
-                at, est = at[est >= s.least_estimate], est[est >= s.least_estimate]
-                found.append(pd.DataFrame({"a": ids[k], "b": ids[at], "est": est}))
-        return pd.concat(found) if found else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "est": pd.Series(dtype="float64")})
-
-    return dealt.select("key", "i", "j", "id", "comp", "n", "blk", "sig").groupBy("key", "i", "j").applyInPandas(run, "a long, b long, est double")
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        x, y = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        likely = np.zeros((len(x), len(y)), dtype=bool)
+        for k, at in enumerate(x):
+            ok = (comp[y] != comp[at]) & (np.minimum(n[y], n[at]) * 100 >= np.maximum(n[y], n[at]) * s.percent)
+            likely[k, ok] = estimate(regs[y[ok]], regs[at]) >= s.least_estimate
+        kx, ky = likely.any(axis=1), likely.any(axis=0)
+        x, y, likely = x[kx], y[ky], likely[kx][:, ky]
+        label = {}
+        if len(x):
+            sets = {at: shingles(t, s.words) for at, t in ((at, pdf["text"].iloc[at]) for at in np.union1d(x, y))}
+            both = _overlaps([sets[at] for at in x], [sets[at] for at in y])
+            hit = likely & (100 * both >= s.percent * (n[x][:, None] + n[y][None] - both))
+            label = _reached(ids[x], ids[y], hit)
+        return pd.DataFrame({"a": list(label.values()), "b": list(label)}, dtype="int64")
+
+    columns = ["key", "i", "j", "id", "comp", "n", "blk", "sig", "text"]
+    return dealt.select(*columns).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def _reached(a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> dict[int, int]:
+    """For each id with a hit, the smallest id that it reaches by hits between a's and b's ids."""
+    top = np.iinfo(np.int64).max
+    best = {int(v): int(v) for v in (*a[hit.any(axis=1)], *b[hit.any(axis=0)])}
+    while best:
+        la, lb = (np.array([best.get(int(v), v) for v in side], dtype=np.int64) for side in (a, b))
+        new = dict(best)
+        for side, other, m in ((a, lb, hit), (b, la, hit.T)):
+            least = np.where(m, other[None], top).min(axis=1)
+            for v, x in zip(side[m.any(axis=1)], least[m.any(axis=1)], strict=True):
+                new[int(v)] = min(new[int(v)], int(x))
+        if new == best:
+            break
+        best = new
+    return {k: v for k, v in best.items() if k != v}
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = Scheme()) -> DataFrame:  # noqa: B008
@@ -263,9 +305,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one, two = (left.where(F.col("c") <= s.few).select("key", F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
     more = one.join(two, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct()
     rest = rest.select("a", "b").unionByName(_estimated(more, reps, s).select("a", "b"))
-    rest = rest.unionByName(_blocked(left.where(F.col("c") > s.few), reps, s).select("a", "b")).distinct()
+    rest = rest.distinct()
     rest = _labelled(_labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
-    edges = edges.unionByName(cut(_confirmed(cut(rest), texts, s)))
+    more = _blocked(left.where(F.col("c") > s.few), reps, texts, s)
+    edges = edges.unionByName(cut(_confirmed(cut(rest), texts, s))).unionByName(cut(more))
     final = connected_components(edges)
 
     found = (
