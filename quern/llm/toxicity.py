@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier whose scores are held still when identity terms are swapped.
 
-Features are hashed words and word beginnings. Which of them count is decided on all labelled training rows;
-weights are then fitted on a bounded sample by logistic loss, a ridge, and a penalty on the squared change of
-the score between a labelled sentence and its counterfactuals, in which identity terms are swapped for others
-of their kind. So a term that neutral and toxic sentences share by accident gains no weight of its own.
+Features are hashed words and word beginnings. Which of them count, and their weights, are decided on a bounded
+sample of labelled rows: weights by logistic loss, a ridge, and a penalty on the squared change of the score
+between a labelled sentence and its counterfactuals, in which identity terms are swapped for others of their
+kind. So a term that neutral and toxic sentences share by accident gains no weight of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import bucket_of, cut, session, table
+from quern.llm.common import bucket_of, cut, labelled_sample, session, table
 
 #: Kinds of identity terms; a term is swapped for others of its kind and number. A parameter of fit().
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -40,7 +40,7 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows that weights are fitted on at most. keep: features kept at most, by their
+    """sample: labelled rows that the model is fitted on at most. keep: features kept at most, by their
     likelihood-ratio statistic. least: rows that a feature is in at least."""
 
     sample: int = 20_000
@@ -158,11 +158,11 @@ def fit_weights(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, settings: Settings = Settings()) -> Model:  # noqa: B008
-    """Fits on rows (id, text, y). Rows whose y is neither 0 nor 1 are left out; a null text is an empty one.
-    With one label only, the model gives that label's share to every text."""
-    session(labelled.sparkSession)
-    rows = labelled.where("y in (0, 1)").select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, settings: Settings = Settings()) -> Model:  # noqa: B008
+    """Fits on documents (doc_id, text) that labels (id, y) knows. Rows whose y is neither 0 nor 1 are left
+    out; a null text is an empty one. With one label only, the model gives that label's share to every text."""
+    session(docs.sparkSession)
+    rows = cut(labelled_sample(docs, labels.where("y in (0, 1)").select("id", F.col("y").cast("int").alias("y")), settings.sample))
     counts = cut(_counts(rows))
     both = counts.where("feature = -1").first()
     if both is None or not both["pos"] or not both["neg"]:
@@ -171,7 +171,6 @@ def fit(labelled: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, se
     g = _likelihood_ratio(F.col("pos"), F.col("neg"), both["pos"], both["neg"])
     chosen = counts.where((F.col("feature") >= 0) & (F.col("pos") + F.col("neg") >= settings.least)).withColumn("g", g).where(F.col("g") >= settings.statistic)
     index = {r["feature"]: i for i, r in enumerate(chosen.orderBy(F.desc("g"), "feature").limit(settings.keep).select("feature").collect())}
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample)
     schema = "y int, f array<int>, a array<int>, b array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,42 +190,66 @@ def fit(labelled: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, se
             yield batch_of(schema, {"y": y, "f": f, "a": a, "b": b})
 
     # only feature numbers reach the driver, of at most `sample` rows
-    data = some.mapInArrow(run, schema).collect()
+    data = rows.mapInArrow(run, schema).collect()
     own = [r for r in data if r["y"] is not None]
     pairs = [(r["a"], r["b"]) for r in data if r["y"] is None]
     w, bias = fit_weights([r["f"] for r in own], np.array([r["y"] for r in own]), pairs, len(index), settings)
     return Model(index, w, bias, settings.threshold)
 
 
+def _scorer(m: Model):
+    """The logit of a text, with what each word adds remembered."""
+    found = _Words(lambda w: tuple(m.index[x] for x in word_features(w) if x in m.index))
+
+    def logit(text: str | None) -> float:
+        hit: set[int] = set()
+        for w in set(WORD.findall((text or "").lower())):
+            if at := found[w]:
+                hit.update(at)
+        return m.bias + (float(m.weights[sorted(hit)].sum()) if hit else 0.0)
+
+    return logit
+
+
+def _probability(logits: list[float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.array(logits, dtype=np.float64), -30, 30)))
+
+
 def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, score, predicted) for whole texts; null and empty texts get the score of no features."""
+    session(docs.sparkSession)
     schema = "doc_id long, score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Words(lambda w: tuple(m.index[x] for x in word_features(w) if x in m.index))
+        logit = _scorer(m)
         for b in batches:
-            z = []
-            for text in b.column("text").to_pylist():
-                hit: set[int] = set()
-                for w in set(WORD.findall((text or "").lower())):
-                    if at := found[w]:
-                        hit.update(at)
-                z.append(m.bias + (m.weights[sorted(hit)].sum() if hit else 0.0))
-            p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64), -30, 30)))
+            p = _probability([logit(t) for t in b.column("text").to_pylist()])
             yield batch_of(schema, {"doc_id": b.column("doc_id"), "score": p, "predicted": (p >= m.threshold).astype(np.int32)})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score stays below the model's threshold."""
+    session(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logit = _scorer(m)
+        for b in batches:
+            p = _probability([logit(t) for t in b.column(text_col).to_pylist()])
+            yield b.filter(pa.array(p < m.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return bucket_of(doc_id, 3) == 1
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame, held: Column | None = None) -> Model:
     """Fits on documents with a toxic label, but for rows that are held out."""
-    own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).where("id is not null and y is not null")
-    own = own.where(~(held_out(F.col("id")) if held is None else held))
-    return fit(docs.select(F.col("doc_id").alias("id"), "text").join(own, "id"))
+    own = labels.where(~(held_out(F.col("doc_id")) if held is None else held))
+    return fit(docs, own.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
