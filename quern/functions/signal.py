@@ -7,16 +7,11 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.vector import dot
+from quern.functions.vector import dot, let
 
 EPS = 2.220446049250313e-16
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, also where body uses it within lambdas."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _range(n: Column | int, start: int = 0) -> Column:
     """start .. n - 1; n is at least start + 1."""
     return F.sequence(F.lit(start), (n if isinstance(n, Column) else F.lit(n)) - 1)

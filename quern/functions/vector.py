@@ -14,6 +14,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it within lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
@@ -82,14 +87,12 @@ def kernel(spec: str | dict | Callable | None = None):
 
 
 def logsumexp(a: Column) -> Column:
-    top = F.array_max(a)
-    return F.log(_sum(F.transform(a, lambda x: F.exp(x - top)))) + top
+    return let(F.array_max(a), lambda top: F.log(_sum(F.transform(a, lambda x: F.exp(x - top)))) + top)
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    total = _sum(F.transform(a, lambda x: F.exp(x - top)))
-    return F.transform(a, lambda x: F.exp(x - top) / total)
+    e = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(e, lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def log_gaussian_pdf(x: Column, mean: Column, variance: Column) -> Column:
