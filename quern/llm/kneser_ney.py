@@ -29,8 +29,8 @@ from quern.llm.common import U64, bucket_of, cut, mix, session, shared_dir, tabl
 
 #: Hashes of the end of a text, which is a token, and of its begin, which is only a context. No word has white space.
 END, BEGIN = (U64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b" "))
-#: Tokens that a task folds or scores at once.
-AT_ONCE = 2_000_000
+#: Tokens that a task scores, and that it counts, at once.
+AT_ONCE, FOLD = 1_000_000, 5_000_000
 
 
 @dataclass(frozen=True)
@@ -80,9 +80,21 @@ def _fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at], np.add.reduceat(counts, at, axis=0)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same counts in the smallest unsigned type that holds them."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    """Counts as 64-bit numbers from n numbers of the width that the blob's length tells."""
+    return np.frombuffer(blob, dtype=f"<u{len(blob) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def _pieces(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pd.DataFrame:
-    """One row per shard with its keys (still sorted) and counts."""
+    """One row per shard with its keys (still sorted; those of words, kinds 2 and 3, in 32 bits) and counts."""
     shard = _shard(keys, shards)
+    keys = keys.astype(np.uint32) if kind > 1 else keys
     order = np.argsort(shard, kind="stable")
     keys, counts, shard = keys[order], counts[order], shard[order]
     ids, at = np.unique(shard, return_index=True)
@@ -91,7 +103,7 @@ def _pieces(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pd.
         {
             "kind": kind, "shard": ids,
             "keys": [keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)],
-            "counts": [counts[a:b].tobytes() for a, b in zip(at, ends, strict=True)],
+            "counts": [_narrow(counts[a:b]).tobytes() for a, b in zip(at, ends, strict=True)],
         }
     )
 
@@ -111,14 +123,14 @@ def _count(texts: DataFrame, shards: int) -> DataFrame:
             if held:
                 for kind, xs in ((0, held), (1, [_bigram_keys(h) for h in held])):
                     keys, counts = np.unique(np.concatenate(xs), return_counts=True)
-                    yield _pieces(kind, keys, counts.astype(np.uint32), shards)
+                    yield _pieces(kind, keys, counts, shards)
 
         held, size = [], 0
         for pdf in batches:
             for text in pdf["text"]:
                 held.append(np.append(word_hashes(text), END))
                 size += len(held[-1])
-                if size >= 4 * AT_ONCE:
+                if size >= FOLD:
                     yield from flush()
                     held, size = [], 0
         yield from flush()
@@ -126,8 +138,10 @@ def _count(texts: DataFrame, shards: int) -> DataFrame:
     return texts.mapInPandas(run, PIECES)
 
 
-def _joined(blobs: pd.Series, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=dtype)
+def _joined(pdf: pd.DataFrame, width: int, per_key: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """All keys, of `width` bytes each, and counts of pieces."""
+    keys = np.frombuffer(b"".join(pdf["keys"]), dtype=f"<u{width}")
+    return keys, np.concatenate([_wide(c, len(k) // width * per_key) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
 
 
 def _merge(pieces: DataFrame, path: str, shards: int) -> DataFrame:
@@ -136,8 +150,8 @@ def _merge(pieces: DataFrame, path: str, shards: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
-        keys, c = _fold(_joined(pdf["keys"], "<u8"), _joined(pdf["counts"], "<u4").astype(np.int64))
-        _save(f"{path}/{kind}-{shard}", keys=keys, counts=c.astype(np.uint32))
+        keys, c = _fold(*_joined(pdf, 8))
+        _save(f"{path}/{kind}-{shard}", keys=keys, counts=_narrow(c))
         stats = [c.sum(), len(c)] if kind == 0 else [(c == k).sum() for k in (1, 2, 3, 4)]
         out = [pd.DataFrame({"kind": [-1 - kind], "shard": [shard], "keys": [b""], "counts": [np.array(stats, dtype=np.int64).tobytes()]})]
         if kind == 1:
@@ -152,9 +166,9 @@ def _merge(pieces: DataFrame, path: str, shards: int) -> DataFrame:
 def _merge_words(pieces: DataFrame, path: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
-        c = _joined(pdf["counts"], "<i8")
-        keys, c = _fold(_joined(pdf["keys"], "<u8"), c.reshape(-1, 4) if kind == 2 else c)
-        _save(f"{path}/{kind}-{shard}", keys=keys.astype(np.uint32), counts=c)
+        keys, c = _joined(pdf, 4, 4 if kind == 2 else 1)
+        keys, c = _fold(keys, c.reshape(-1, 4) if kind == 2 else c)
+        _save(f"{path}/{kind}-{shard}", keys=keys, counts=_narrow(c))
         stats = [c.sum(), (c == 1).sum(), (c == 2).sum(), (c == 3).sum(), (c == 4).sum(), (c >= 3).sum(), len(c)] if kind == 3 else [0]
         return pd.DataFrame({"kind": [-1 - kind], "stats": [[int(x) for x in stats]]})
 
