@@ -58,6 +58,10 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#root")
         self.open: list[Node] = [self.root]
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections are comments in HTML, whatever stands in them."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def _end(self, tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
         """Closes the outermost open element of tags that lies within the nearest of scope."""
         at = None
@@ -108,7 +112,7 @@ class TreeBuilder(HTMLParser):
 
 
 class _Block:
-    """Lines gathered so far, with at most one empty line between any two."""
+    """Lines gathered so far. Space around blocks is one empty line, however many ask for it."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
@@ -137,7 +141,7 @@ class _Block:
 
     def add(self, lines: list[str]) -> None:
         if lines:
-            if self.gap and self.lines:
+            if self.gap and self.lines and self.lines[-1] and lines[0]:
                 self.lines.append("")
             self.gap = False
             self.lines += lines
