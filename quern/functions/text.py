@@ -61,7 +61,7 @@ def tokenize_bytes_raw(line: Column, split_punctuation: bool = False) -> Column:
         return F.array(joined)
     signs = "|".join(str(ord(c)) for c in PUNCTUATION)
     parts = F.split(F.regexp_replace(joined, rf"(?<!\S)({signs})(?!\S)", "-$1-"), "-")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def bytes_to_chars(numbers: Column) -> Column:

@@ -27,8 +27,12 @@ class GMM:
     bounds: list[float] = field(default_factory=list)
 
     def _start(self, df: DataFrame) -> None:
-        rows = [r[0] for r in df.select("x").orderBy(F.xxhash64(F.lit(self.seed), "x")).limit(self.c).collect()]
-        x = np.array(rows, dtype=float)
+        # the first means lie far apart among a bounded number of rows
+        some = df.select("x").orderBy(F.xxhash64(F.lit(self.seed), "x")).limit(50 * self.c).collect()
+        rows = np.array([r[0] for r in some], dtype=float)
+        x = rows[:1]
+        while len(x) < self.c:
+            x = np.vstack([x, rows[np.argmax(((rows[:, None] - x[None]) ** 2).sum(-1).min(1))]])
         self.mu, self.sigma, self.pi = x, np.stack([np.eye(x.shape[1])] * self.c), np.full(self.c, 1 / self.c)
 
     def log_densities(self, x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules of quern.plans that hold queries; each has QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("text", "ngram", "vector", "linear", "signal", "features", "graph", "trees", "neural", "decision", "latent", "networks")
+MODULES: tuple[str, ...] = ("text", "ngram", "vector", "linear", "signal", "features", "graph", "trees", "neural", "decision", "latent", "networks", "streams")
 
 
 def collect() -> tuple[dict[str, Query], dict[str, str]]:
