@@ -34,7 +34,7 @@ class Settings:
     """documents: documents that labelled identifiers are taken from (the first by a hash of their ids).
     random: generated random strings. least: log-likelihood ratio of a secret, in nats."""
 
-    documents: int = 2_000
+    documents: int = 500
     random: int = 4_000
     least: float = 15.0
 
@@ -53,7 +53,10 @@ def labelled_samples(docs: DataFrame, s: Settings = Settings(), id_col: str = "d
             )
         ).alias("sample"), F.lit(1).alias("secret"),
     )
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).orderBy(F.xxhash64("id"), "id").limit(s.documents)
+    # ids are chosen before texts are read: what is broadcast has `documents` rows at most, and tasks share the work
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = own.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(s.documents)
+    some = own.join(F.broadcast(chosen), "id")
     words = F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0)), lambda w: ~w.rlike("[0-9]{2}") & (F.length(w) <= 40))
     thirds = F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0)), F.lit(3))
     joined = [F.transform(thirds, _joining(sign)) for sign in ("_", "-", "/", "")]
