@@ -112,11 +112,11 @@ def _probs(spark, sf):
 def _sweep(spark, sf):
     m = _model(spark, sf)
     q = m.state_action_pairs().withColumn("q", F.col("a").cast("double"))
-    return m.sweep(q).select("s", "a", rounded("q").alias("q"), rounded("priority").alias("priority"))
+    return m.sweep(q).select("s", "a", rounded("q", 9).alias("q"), rounded("priority", 9).alias("priority"))
 
 
 def _values(spark, sf):
-    return R.first_visit_values(transitions(spark, sf), 0.9).select("s", "a", rounded("q", 5).alias("q"), "n")
+    return R.first_visit_values(transitions(spark, sf), 0.9).select("s", "a", rounded("q", 9).alias("q"), "n")
 
 
 def _returns(spark, sf):
@@ -188,7 +188,7 @@ QUERIES = {
     "env_outcome_probs": _probs,
     "env_leading_to": lambda s, d: _model(s, d).pairs_leading_to("click"),
     "dyna_sweep": _sweep,
-    "value_iteration": lambda s, d: _model(s, d).value_iteration(rounds=3).select("s", "a", rounded("q", 5).alias("q")),
+    "value_iteration": lambda s, d: _model(s, d).value_iteration(rounds=3).select("s", "a", rounded("q", 9).alias("q")),
     "mc_returns": _returns,
     "mc_first_visit": _values,
     "td_step": _td,
@@ -219,11 +219,11 @@ ORACLES = {
     "env_outcomes": f"with {MODEL} select r, s2 from m where s = 'click' and a = 1",
     "env_outcome_probs": f"with {MODEL} select s, a, r, s2, round(p, 6) as p from p",
     "env_leading_to": f"with {MODEL} select distinct s, a from m where s2 = 'click'",
-    "dyna_sweep": f"with {MODEL}, b as (select s as s2, max(a)::double as best from m group by 1) select s, a, round(sum(p * (r + 0.9 * coalesce(best, 0))), 6) as q, round(abs(sum(p * (r + 0.9 * coalesce(best, 0))) - a), 6) as priority from p left join b using (s2) group by 1, 2",
-    "value_iteration": f"with {MODEL}, q1 as (select s, a, sum(p * r) as q from p group by 1, 2), q2 as (select s, a, sum(p * (r + 0.9 * coalesce(best, 0))) as q from p left join (select s as s2, max(q) as best from q1 group by 1) using (s2) group by 1, 2) select s, a, round(sum(p * (r + 0.9 * coalesce(best, 0))), 5) as q from p left join (select s as s2, max(q) as best from q2 group by 1) using (s2) group by 1, 2",
+    "dyna_sweep": f"with {MODEL}, b as (select s as s2, max(a)::double as best from m group by 1) select s, a, round(sum(p * (r + 0.9 * coalesce(best, 0))), 9) as q, round(abs(sum(p * (r + 0.9 * coalesce(best, 0))) - a), 9) as priority from p left join b using (s2) group by 1, 2",
+    "value_iteration": f"with {MODEL}, q1 as (select s, a, sum(p * r) as q from p group by 1, 2), q2 as (select s, a, sum(p * (r + 0.9 * coalesce(best, 0))) as q from p left join (select s as s2, max(q) as best from q1 group by 1) using (s2) group by 1, 2) select s, a, round(sum(p * (r + 0.9 * coalesce(best, 0))), 9) as q from p left join (select s as s2, max(q) as best from q2 group by 1) using (s2) group by 1, 2",
     "mc_returns": f"with {TR} select event_id, round(sum(r) over (partition by episode order by t rows between current row and unbounded following), 4) + 0.0 as g from tr",
     "mc_first_visit": f"""with {TR}, g as (select *, sum(r * pow(0.9, t)) over (partition by episode order by t rows between current row and unbounded following) / pow(0.9, t) as g,
- row_number() over (partition by episode, s, a order by t) as k from tr) select s, a, round(avg(g), 5) as q, count(*)::bigint as n from g where k = 1 group by 1, 2""",
+ row_number() over (partition by episode, s, a order by t) as k from tr) select s, a, round(avg(g), 9) as q, count(*)::bigint as n from g where k = 1 group by 1, 2""",
     "td_step": f"with {TR} select event_id, round(a / 10.0::double + 0.4 * (r + 0.99 * (case when s2 is null then 0 else 0.4 end) - a / 10.0::double), 6) + 0.0 as q from tr",
     "td_episodes": f"""with recursive {TR}, f(episode, t, m) as (select distinct episode, 0::bigint, map([]::varchar[], []::double[]) from tr union all
  select f.episode, tr.t, map_concat(f.m, map([tr.s], [coalesce(f.m[tr.s], 0) + 0.4 * (tr.r + 0.9 * coalesce(f.m[tr.s2], 0) - coalesce(f.m[tr.s], 0))])) from f join tr on tr.episode = f.episode and tr.t = f.t + 1 where tr.t <= 15),
