@@ -24,15 +24,23 @@ def gram_counts(lines: DataFrame, n: int, line_col: str = "line") -> DataFrame:
     leaves the marks out."""
     words = lines.select(T.tokenize_words(F.col(line_col), stop=None).alias("w")).where(F.size("w") > 0)
     words = words.select((padded(F.col("w"), n) if n > 1 else F.col("w")).alias("w"))
-    return words.select(F.explode(T.ngrams(F.col("w"), n)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("count"))
+    return gram_rows(words, n).groupBy("gram").agg(F.count("*").alias("count"))
 
 
-def prefix(gram: Column) -> Column:
-    return F.regexp_replace(gram, r" ?\S+$", "")
+def gram_rows(words: DataFrame, n: int, *keep: str) -> DataFrame:
+    """A row (keep, gram) for each n-gram of arrays w. Positions are exploded and the words fetched by position,
+    which stays in generated code."""
+    at = words.where(F.size("w") >= n).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
+    return at.select(*keep, F.concat_ws(" ", *(F.get("w", F.col("i") + k) for k in range(n))).alias("gram"))
 
 
 def last(gram: Column) -> Column:
-    return F.regexp_extract(gram, r"\S+$", 0)
+    return F.substring_index(gram, " ", -1)
+
+
+def prefix(gram: Column) -> Column:
+    """All words but the last; empty for one word."""
+    return F.substring(gram, 1, F.length(gram) - F.length(last(gram)) - 1)
 
 
 @dataclass
@@ -68,7 +76,7 @@ class NGram:
         """Rows (id, n_grams, log_prob, cross_entropy, perplexity) of texts with n words at least; a text with
         an impossible n-gram has a log probability of -infinity."""
         words = sentences.select(F.col(id_col).alias("id"), T.tokenize_words(F.col(text_col), stop=None).alias("w")).where(F.size("w") >= self.n)
-        grams = words.select("id", F.explode(T.ngrams(F.col("w"), self.n)).alias("g")).select("id", F.array_join("g", " ").alias("gram"))
+        grams = gram_rows(words, self.n, "id")
         out = self.probabilities(grams).groupBy("id").agg(F.count("*").alias("n_grams"), F.sum("log_prob").alias("log_prob"))
         out = out.withColumn("cross_entropy", -F.col("log_prob") / F.col("n_grams"))
         return out.withColumn("perplexity", F.exp("cross_entropy"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import bandits as B
 from quern.operators import reinforcement as R
+from quern.operators import vocabulary as V
 from quern.plans import graph as G
 from quern.plans.common import rounded, table
 
@@ -149,8 +150,8 @@ def _tiles(wrap):
 
 def _tile_ids(spark, sf):
     """Dense numbers of tiles in order, as an index table gives them."""
-    t = _tiles(None)(spark, sf).select("tile").distinct()
-    return t.withColumn("id", F.dense_rank().over(W.orderBy("tile")).cast("bigint"))
+    t = _tiles(None)(spark, sf).select(F.col("tile").alias("token"), F.lit(1).alias("count")).distinct()
+    return V._ranked(t).select(F.col("token").alias("tile"), (F.col("idx") + 1).alias("id"))
 
 
 def _agents(spark, sf):
