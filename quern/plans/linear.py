@@ -44,8 +44,8 @@ def _ols_update(spark, sf):
 def _ols_multi_sums(spark, sf):
     s = L.sums(_items(spark, sf), L.terms(["q", "d", "t"]), [F.col("y")])
     names = ["1", "q", "d", "t"]
-    rows = [(f"{a}*{b}", round(float(s.xx[i, j]), 3)) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    rows += [(f"{a}*y", round(float(s.xy[i, 0]), 3)) for i, a in enumerate(names)]
+    rows = [(f"{a}*{b}", round(float(s.xx[i, j]), 5)) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    rows += [(f"{a}*y", round(float(s.xy[i, 0]), 5)) for i, a in enumerate(names)]
     return spark.createDataFrame(rows, "term string, value double")
 
 
@@ -136,8 +136,8 @@ def _listed(names: list[str], columns: list[str], source: str = "b") -> str:
 
 
 _OLS = f"with {ITEMS_SQL}, b as (select regr_intercept(y, q) as b0, regr_slope(y, q) as b1 from li) {_listed(['intercept', 'q'], ['b0', 'b1'])}"
-_SUM_TERMS = [f"select '{a}*{b}' as term, round(sum(({x})::double * {z}), 3) as value from li" for i, (a, x) in enumerate([("1", "1.0"), ("q", "q"), ("d", "d"), ("t", "t")]) for b, z in [("1", "1.0"), ("q", "q"), ("d", "d"), ("t", "t")][i:]]
-_SUM_TERMS += [f"select '{a}*y', round(sum({x} * y), 3) from li" for a, x in (("1", "1.0"), ("q", "q"), ("d", "d"), ("t", "t"))]
+_SUM_TERMS = [f"select '{a}*{b}' as term, round(sum(({x})::double * {z}), 5) as value from li" for i, (a, x) in enumerate([("1", "1.0"), ("q", "q"), ("d", "d"), ("t", "t")]) for b, z in [("1", "1.0"), ("q", "q"), ("d", "d"), ("t", "t")][i:]]
+_SUM_TERMS += [f"select '{a}*y', round(sum({x} * y), 5) from li" for a, x in (("1", "1.0"), ("q", "q"), ("d", "d"), ("t", "t"))]
 _P = "1 / (1 + exp(-(-0.5 + 0.01 * q + 2.0 * d)))"
 _BAYES = f"with {ITEMS_SQL}, {_two('1.0', 'q', 'y', add=0.5, more='0.25')}"
 
