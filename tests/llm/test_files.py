@@ -12,6 +12,7 @@ from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from test_minhash import brute
 
 import corpus_pipeline
 from quern.llm import html_text as H
@@ -162,3 +163,17 @@ def test_pipeline_of_odd_documents(spark):
         if given_rows:
             assert got == {1: (None, None, "s"), 2: ("", 0, "s"), None: ("no id", 5, "s"), 4: ("[SECRET]\" here", 14, "s")}
         assert docs.count() == len(given_rows)
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    made = []
+    for n in (49, 54, 60, 110, 120):  # two changed words or one, for similarities around 0.80 and 0.85
+        words = [f"w{k}" for k in rng.integers(0, 10**6, n)]
+        made += [words, [*words[:20], "other", *words[21:]], [*words[:20], "other", *words[21:35], "more", *words[36:]]]
+    own = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    for docs in (own, table(spark, SF01, "documents").select("doc_id", "text")):
+        rows = [tuple(r) for r in docs.collect()]
+        kept = lambda percent: {i for i, (_, c) in brute(rows, percent).items() if i == c}  # noqa: B023, E731
+        got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF01).collect()}
+        assert got == kept(80) < kept(85)
