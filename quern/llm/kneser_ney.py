@@ -1,9 +1,11 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays that workers map.
+"""Interpolated modified Kneser-Ney model of any order from 2: counted in Spark, kept as sorted hash arrays that workers map.
 
 Counting and merging move arrays, not rows: each task folds its texts into sorted keys with counts and emits
 one piece of them per shard; a shard's pieces are merged by one task, which writes the shard's arrays into the
-folder that all executors share. A word is known by its 64-bit hash; a bigram's key is made of the upper 32
-bits of its two words' hashes. Scoring tasks map the arrays and look up sorted keys.
+folder that all executors share. A word is known by its 64-bit hash, and an n-gram by a 64-bit hash of the keys
+of its context (all but the last word) and its suffix (all but the first). Below the highest order an n-gram
+counts as often as different words stand before it, or, where it begins a text, as often as it occurs. Scoring
+tasks map the arrays and look up sorted keys.
 """
 
 from __future__ import annotations
@@ -41,11 +43,15 @@ class Model:
     shards: int
     train_tokens: int
     vocabulary: int
-    discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]  # of orders 2, 3 and so on
     low_discounts: tuple[float, float, float]
     low_total: int
     low_kinds: tuple[int, int, int]
 
+    @property
+    def order(self) -> int:
+        return len(self.discounts) + 1
+
 
 def _folder(spark: SparkSession) -> str:
     url = urlparse(shared_dir(spark))
@@ -91,39 +97,54 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, dtype=f"<u{len(blob) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def _pieces(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pd.DataFrame:
-    """One row per shard with its keys (still sorted; those of words, kinds 2 and 3, in 32 bits) and counts."""
+#: Kinds of pieces and arrays: 0 words as they occur, m n-grams of order m (1: words as continuations); beside
+#: these, what contexts of order m's n-grams gather, and how often n-grams of order m are continuations.
+CONTEXT, CONTINUED = 100, 200
+PIECES = "kind int, shard long, keys binary, suffixes binary, counts binary"
+
+
+def _pieces(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int, grams: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
+    """One row per shard with its keys (still sorted) and counts. Of n-grams, the keys of their contexts and
+    suffixes are kept instead, from which their own follow."""
     shard = _shard(keys, shards)
-    keys = keys.astype(np.uint32) if kind > 1 else keys
     order = np.argsort(shard, kind="stable")
-    keys, counts, shard = keys[order], counts[order], shard[order]
+    first, rest = (keys, keys[:0]) if grams is None else grams
+    first, rest, counts, shard = first[order], rest[order] if len(rest) else rest, counts[order], shard[order]
     ids, at = np.unique(shard, return_index=True)
     ends = [*at[1:], len(keys)]
-    return pd.DataFrame(
-        {
-            "kind": kind, "shard": ids,
-            "keys": [keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)],
-            "counts": [_narrow(counts[a:b]).tobytes() for a, b in zip(at, ends, strict=True)],
-        }
-    )
+    of = lambda x: [x[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+    narrow = [_narrow(counts[a:b]).tobytes() for a, b in zip(at, ends, strict=True)]
+    return pd.DataFrame({"kind": kind, "shard": ids, "keys": of(first), "suffixes": of(rest), "counts": narrow})
 
 
-PIECES = "kind int, shard long, keys binary, counts binary"
+def _stats(kind: int, shard: int, numbers: list[int]) -> pd.DataFrame:
+    """A row of statistics, of kind -1 - kind."""
+    return pd.DataFrame({"kind": [-1 - kind], "shard": [shard], "keys": [b""], "suffixes": [b""], "counts": [np.array(numbers, dtype=np.int64).tobytes()]})
 
 
-def _bigram_keys(h: np.ndarray) -> np.ndarray:
-    """h: the tokens' hashes, the end included."""
-    before = np.concatenate([[BEGIN], h[:-1]])
-    return (before & U64(0xFFFFFFFF00000000)) | (h >> U64(32))
+def _key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return mix(mix(context ^ U64(0x9E3779B97F4A7C15)) + suffix)
 
 
-def _count(texts: DataFrame, shards: int) -> DataFrame:
+def _grams(h: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For m from 2 to order: m, and the contexts and suffixes of the n-grams that end at tokens m - 2 and later
+    of a text. h: its tokens' hashes, the end included; one begin stands before them."""
+    keys = np.concatenate([[BEGIN], h])
+    for m in range(2, order + 1):
+        yield m, keys[:-1], keys[1:]
+        keys = _key(keys[:-1], keys[1:])
+
+
+def _count(texts: DataFrame, shards: int, order: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush() -> Iterator[pd.DataFrame]:
             if held:
-                for kind, xs in ((0, held), (1, [_bigram_keys(h) for h in held])):
-                    keys, counts = np.unique(np.concatenate(xs), return_counts=True)
-                    yield _pieces(kind, keys, counts, shards)
+                yield _pieces(0, *np.unique(np.concatenate(held), return_counts=True), shards)
+                for m in range(2, order + 1):
+                    own = [list(_grams(h, m))[-1] for h in held]
+                    context, suffix = (np.concatenate([g[k] for g in own]) for k in (1, 2))
+                    keys, at, counts = np.unique(_key(context, suffix), return_index=True, return_counts=True)
+                    yield _pieces(m, keys, counts, shards, (context[at], suffix[at]))
 
         held, size = [], 0
         for pdf in batches:
@@ -138,41 +159,72 @@ def _count(texts: DataFrame, shards: int) -> DataFrame:
     return texts.mapInPandas(run, PIECES)
 
 
-def _joined(pdf: pd.DataFrame, width: int, per_key: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """All keys, of `width` bytes each, and counts of pieces."""
-    keys = np.frombuffer(b"".join(pdf["keys"]), dtype=f"<u{width}")
-    return keys, np.concatenate([_wide(c, len(k) // width * per_key) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
+def _joined(pdf: pd.DataFrame, per_key: int = 1, column: str = "keys") -> tuple[np.ndarray, np.ndarray]:
+    """All keys and counts of pieces."""
+    keys = np.frombuffer(b"".join(pdf[column]), dtype=np.uint64)
+    if not len(pdf):
+        return keys, np.zeros(0, np.int64)
+    return keys, np.concatenate([_wide(c, len(k) // 8 * per_key) for k, c in zip(pdf[column], pdf["counts"], strict=True)])
+
 
+def _merged_grams(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of n-grams with their contexts, suffixes and summed counts."""
+    context, c = _joined(pdf)
+    suffix, _ = _joined(pdf, column="suffixes")
+    keys, at, back = np.unique(_key(context, suffix), return_index=True, return_inverse=True)
+    return keys, context[at], suffix[at], np.bincount(back, weights=c, minlength=len(keys)).astype(np.int64)
 
-def _merge(pieces: DataFrame, path: str, shards: int) -> DataFrame:
-    """Writes words (kind 0) and bigrams (kind 1) of each shard; emits a row of statistics (kind -1: numbers
-    in counts) and, of bigrams, what each word gathers as a context and as a continuation (kinds 2 and 3)."""
+
+def _level(m: int, shard: int, keys: np.ndarray, context: np.ndarray, suffix: np.ndarray, c: np.ndarray, path: str, shards: int) -> list[pd.DataFrame]:
+    """Writes n-grams of order m of a shard; returns their statistics and what contexts and suffixes gather."""
+    _save(f"{path}/{m}-{shard}", keys=keys, counts=_narrow(c))
+    seen = np.stack([c, c == 1, c == 2, c >= 3], axis=1).astype(np.int64)
+    return [
+        _stats(m, shard, [(c == k).sum() for k in (1, 2, 3, 4)]),
+        _pieces(CONTEXT + m, *_fold(context, seen), shards),
+        _pieces(CONTINUED + m - 1, *_fold(suffix, np.ones(len(keys), dtype=np.int64)), shards),
+    ]
+
+
+def _merge(pieces: DataFrame, path: str, shards: int, order: int) -> DataFrame:
+    """Writes words and n-grams of the highest order; n-grams of the others are brought together by shards."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
-        keys, c = _fold(*_joined(pdf, 8))
-        _save(f"{path}/{kind}-{shard}", keys=keys, counts=_narrow(c))
-        stats = [c.sum(), len(c)] if kind == 0 else [(c == k).sum() for k in (1, 2, 3, 4)]
-        out = [pd.DataFrame({"kind": [-1 - kind], "shard": [shard], "keys": [b""], "counts": [np.array(stats, dtype=np.int64).tobytes()]})]
-        if kind == 1:
-            seen = np.stack([c, c == 1, c == 2, c >= 3], axis=1).astype(np.int64)
-            out.append(_pieces(2, *_fold(keys >> U64(32), seen), shards))
-            out.append(_pieces(3, *_fold(keys & U64(0xFFFFFFFF), np.ones(len(keys), dtype=np.int64)), shards))
-        return pd.concat(out)
+        if kind == 0:
+            keys, c = _fold(*_joined(pdf))
+            _save(f"{path}/0-{shard}", keys=keys, counts=_narrow(c))
+            return _stats(0, shard, [c.sum(), len(c)])
+        keys, context, suffix, c = _merged_grams(pdf)
+        if kind < order:
+            return _pieces(kind, keys, c, shards, (context, suffix))
+        return pd.concat(_level(kind, shard, keys, context, suffix, c, path, shards))
 
     return pieces.groupBy("kind", "shard").applyInPandas(run, PIECES)
 
 
-def _merge_words(pieces: DataFrame, path: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, shard = int(pdf["kind"].iloc[0]), int(pdf["shard"].iloc[0])
-        keys, c = _joined(pdf, 4, 4 if kind == 2 else 1)
-        keys, c = _fold(keys, c.reshape(-1, 4) if kind == 2 else c)
-        _save(f"{path}/{kind}-{shard}", keys=keys, counts=_narrow(c))
-        stats = [c.sum(), (c == 1).sum(), (c == 2).sum(), (c == 3).sum(), (c == 4).sum(), (c >= 3).sum(), len(c)] if kind == 3 else [0]
-        return pd.DataFrame({"kind": [-1 - kind], "stats": [[int(x) for x in stats]]})
+def _merge_lower(pieces: DataFrame, path: str, shards: int, m: int) -> DataFrame:
+    """Writes n-grams of order m < order with their counts as continuations, and contexts of order m + 1."""
 
-    return pieces.where("kind > 1").groupBy("kind", "shard").applyInPandas(run, "kind int, stats array<long>")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        if int(pdf["kind"].iloc[0]) == CONTEXT + m + 1:
+            keys, c = _joined(pdf, 4)
+            keys, c = _fold(keys, c.reshape(-1, 4))
+            _save(f"{path}/{CONTEXT + m + 1}-{shard}", keys=keys, counts=_narrow(c))
+            return _stats(CONTEXT, shard, [])
+        found, n = _fold(*_joined(pdf[pdf["kind"] == CONTINUED + m]))
+        if m == 1:
+            _save(f"{path}/1-{shard}", keys=found, counts=_narrow(n))
+            return _stats(1, shard, [n.sum(), *((n == k).sum() for k in (1, 2, 3, 4)), (n >= 3).sum(), len(n)])
+        keys, context, suffix, c = _merged_grams(pdf[pdf["kind"] == m])
+        if len(found):
+            k = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+            c = np.where(found[k] == keys, n[k], c)  # where nothing stands before it, it begins a text
+        return pd.concat(_level(m, shard, keys, context, suffix, c, path, shards))
+
+    own = pieces.where(F.col("kind").isin(m, CONTINUED + m, CONTEXT + m + 1))
+    return own.groupBy(F.col("kind") == CONTEXT + m + 1, "shard").applyInPandas(run, PIECES)
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -186,26 +238,34 @@ def _discounts(n: np.ndarray) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
+def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, order: int = 2) -> Model:
     """Counts the texts of docs (null: empty) and writes the model into the shared folder.
 
-    Every word and every end of a text counts, with no cut-off. Shards are as many as shuffle partitions
-    unless given. With no documents at all every probability is that of a uniform choice.
+    Every n-gram of up to `order` words counts, with no cut-off; an end of a text is a word. Shards are as many
+    as shuffle partitions unless given. With no documents at all every probability is that of a uniform choice.
     """
+    if order < 2:
+        raise ValueError(f"order is {order}; it must be 2 at least")
     spark = session(docs.sparkSession)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = _folder(spark)
-    counted = _count(docs.select(F.col(text_col).cast("string").alias("text")), shards)
-    merged = cut(_merge(counted, path, shards))
-    sums = {-1: np.zeros(2, dtype=np.int64), -2: np.zeros(4, dtype=np.int64), -4: np.zeros(7, dtype=np.int64)}
-    for r in merged.where("kind < 0").select("kind", "counts").toLocalIterator():  # a few numbers per shard
-        sums[r["kind"]] = sums[r["kind"]] + np.frombuffer(r["counts"], dtype=np.int64)
-    for r in _merge_words(merged, path).where("kind = -4").toLocalIterator():
-        sums[-4] = sums[-4] + np.array(r["stats"])
-    low = sums[-4]
+    sums = {-1: np.zeros(2, dtype=np.int64), -2: np.zeros(7, dtype=np.int64)} | {-1 - m: np.zeros(4, dtype=np.int64) for m in range(2, order + 1)}
+
+    def take(df: DataFrame) -> DataFrame:
+        df = cut(df)
+        for r in df.where(F.col("kind").between(-CONTEXT, -1)).select("kind", "counts").toLocalIterator():  # a few numbers per shard
+            sums[r["kind"]] = sums[r["kind"]] + np.frombuffer(r["counts"], dtype=np.int64)
+        return df
+
+    merged = take(_merge(_count(docs.select(F.col(text_col).cast("string").alias("text")), shards, order), path, shards, order))
+    for m in range(order - 1, 0, -1):
+        lower = take(_merge_lower(merged, path, shards, m))
+        # n-grams of still lower orders wait for their continuations
+        merged = lower.unionByName(merged.where(F.col("kind").between(2, m - 1))) if m > 2 else lower
+    low = sums[-2]
     return Model(
-        path, shards, int(sums[-1][0]), int(sums[-1][1]), _discounts(sums[-2]), _discounts(low[1:5]), int(low[0]),
-        (int(low[1]), int(low[2]), int(low[5])),
+        path, shards, int(sums[-1][0]), int(sums[-1][1]), tuple(_discounts(sums[-1 - m]) for m in range(2, order + 1)),
+        _discounts(low[1:5]), int(low[0]), (int(low[1]), int(low[2]), int(low[5])),
     )
 
 
@@ -226,9 +286,9 @@ class Lookup:
         return self.open[kind, shard]
 
     def __call__(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Counts of keys, 0 where there are none; rows of four for kind 2."""
+        """Counts of keys, 0 where there are none; rows of four for contexts."""
         distinct, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(distinct), 4) if kind == 2 else len(distinct), dtype=np.int64)
+        out = np.zeros((len(distinct), 4) if kind > CONTEXT else len(distinct), dtype=np.int64)
         shard = _shard(distinct, self.m.shards)
         order = np.argsort(shard, kind="stable")
         ids, at = np.unique(shard[order], return_index=True)
@@ -236,26 +296,33 @@ class Lookup:
             if (found := self._arrays(kind, int(s))) is not None:
                 want = distinct[rows].astype(found[0].dtype)
                 k = np.minimum(np.searchsorted(found[0], want), len(found[0]) - 1)
-                out[rows] = np.where((found[0][k] == want)[:, None] if kind == 2 else found[0][k] == want, found[1][k], 0)
+                out[rows] = np.where((found[0][k] == want)[:, None] if kind > CONTEXT else found[0][k] == want, found[1][k], 0)
         return out[back]
 
-    def logs(self, h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For tokens h and their bigram keys: log10 probabilities, base log10 probabilities, training counts."""
+    def logs(self, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the tokens of texts: log10 probabilities, base log10 probabilities, training counts."""
         m = self.m
+        h = np.concatenate(held)
         word = self(0, h)
         base = np.log10((word + 0.1) / (m.train_tokens + 0.1 * (m.vocabulary + 1)))
         d = np.array([0.0, *m.low_discounts])
-        cont = self(3, keys & U64(0xFFFFFFFF))
+        cont = self(1, h)
         uniform = 1.0 / (m.vocabulary + 1)
         if m.low_total:
-            low = (cont - d[np.minimum(cont, 3)]) / m.low_total + np.dot(m.low_discounts, m.low_kinds) / m.low_total * uniform
+            p = (cont - d[np.minimum(cont, 3)]) / m.low_total + np.dot(m.low_discounts, m.low_kinds) / m.low_total * uniform
         else:
-            low = np.full(len(h), uniform)
-        d = np.array([0.0, *m.discounts])
-        both, ctx = self(1, keys), self(2, keys >> U64(32))
-        total = np.maximum(ctx[:, 0], 1)
-        high = (both - d[np.minimum(both, 3)]) / total + ctx[:, 1:] @ d[1:] / total * low
-        return np.log10(np.where(ctx[:, 0] > 0, high, low)), base, word
+            p = np.full(len(h), uniform)
+        place = np.concatenate([np.arange(len(x)) for x in held])
+        grams = zip(*(_grams(x, m.order) for x in held), strict=True)
+        for k, own in enumerate(grams, 2):
+            context, suffix = (np.concatenate([g[j] for g in own]) for j in (1, 2))
+            d = np.array([0.0, *m.discounts[k - 2]])
+            both, ctx = self(k, _key(context, suffix)), self(CONTEXT + k, context)
+            total = np.maximum(ctx[:, 0], 1)
+            at = place >= k - 2  # tokens with so long a context
+            high = (both - d[np.minimum(both, 3)]) / total + ctx[:, 1:] @ d[1:] / total * p[at]
+            p[at] = np.where(ctx[:, 0] > 0, high, p[at])
+        return np.log10(p), base, word
 
 
 @lru_cache(maxsize=2)
@@ -272,9 +339,8 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
         look = _lookup(m)
 
         def flush() -> pa.RecordBatch:
-            h, keys = np.concatenate(held), np.concatenate([_bigram_keys(x) for x in held])
             at = np.cumsum([0, *(len(x) for x in held[:-1])])
-            log, base, word = look.logs(h, keys)
+            log, base, word = look.logs(held)
             return batch_of(
                 schema,
                 {
@@ -309,9 +375,9 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
     return bucket_of(doc_id, folds) == 0
 
 
-def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents under a model of those whose crc32 modulo 10 is not 0."""
+def op8(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
+    """Scores of all documents under a model of those whose crc32 modulo 10 is not 0. The registered query has order 3."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    m = train(docs.where(~held_out(F.col("doc_id"))))
+    m = train(docs.where(~held_out(F.col("doc_id"))), order=order)
     out = score(docs, m).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(m.train_tokens).cast("long"))
     return with_perplexity(out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

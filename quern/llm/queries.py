@@ -1,5 +1,7 @@
 """The registered corpus queries."""
 
+from functools import partial
+
 from quern.llm import cells, decontamination, html_text, kneser_ney, minhash, packing, quality, secrets, toxicity, warc
 
 QUERIES = {
@@ -10,7 +12,7 @@ QUERIES = {
     "op5_html_extraction": html_text.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_benchmark_decontamination": decontamination.op7,
-    "op8_kneser_ney_scoring": kneser_ney.op8,
+    "op8_kneser_ney_scoring": partial(kneser_ney.op8, order=3),
     "op9_warc": warc.op9,
     "op10_quality_classifier": quality.op10,
 }

@@ -18,6 +18,7 @@ from quern.llm import quality as Q
 from quern.llm import secrets as S
 from quern.llm import toxicity as T
 from quern.llm.common import table
+from quern.llm.queries import QUERIES
 
 SF01, SF1 = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -112,6 +113,44 @@ def test_language_model_against_plain_python(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_longer_contexts_against_plain_python(spark, order):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 6, rng.integers(0, 40)))) for i in range(60)] + [(60, "w1 w2 new w1 w2 w3"), (61, None)]
+    tokens = lambda t: (t or "").split() + ["\n"]
+    grams = lambda t, m: list(zip(*([" ", *tokens(t)][k:] for k in range(m)), strict=False))
+    own = rows[:50]
+    uni = Counter(w for _, t in own for w in tokens(t))
+    counts = {order: Counter(g for _, t in own for g in grams(t, order))}
+    for m in range(order - 1, 1, -1):
+        before = Counter(g[1:] for g in counts[m + 1])
+        counts[m] = Counter({g: before[g] or c for g, c in Counter(g for _, t in own for g in grams(t, m)).items()})
+    counts[1] = Counter(g[1:] for g in counts[2])
+    d = {m: (0, *K._discounts(np.array([sum(c == k for c in xs.values()) for k in (1, 2, 3, 4)]))) for m, xs in counts.items()}
+    of = defaultdict(list)
+    for xs in counts.values():
+        for g, c in xs.items():
+            of[g[:-1]].append(c)
+
+    def p(g):
+        m, xs = len(g), of.get(g[:-1])
+        low = p(g[1:]) if m > 1 else 1 / (len(uni) + 1)
+        if not xs:
+            return low
+        return (counts[m][g] - d[m][min(counts[m][g], 3)] + sum(d[m][min(c, 3)] for c in xs) * low) / sum(xs)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in K.score(df, K.train(df.where("doc_id < 50").repartition(3), order=order)).collect()}
+    for i, t in rows:
+        w = (" ", *tokens(t))
+        assert got[i] == pytest.approx(sum(math.log10(p(w[max(0, k - order + 1) : k + 1])) for k in range(1, len(w))), rel=1e-9)
+
+
+def test_registered_language_model_has_trigrams(spark):
+    got, two = ({r["doc_id"]: r["score"] for r in q(spark, SF).collect()} for q in (QUERIES["op8_kneser_ney_scoring"], K.op8))
+    assert got.keys() == two.keys() and sum(got.values()) > sum(two.values())
+
+
 def test_language_model_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (None, "a b"), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in K.score(docs, K.train(docs.limit(0))).collect()}
