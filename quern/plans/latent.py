@@ -32,20 +32,22 @@ def _gmm(spark, sf):
 HMM = L.MultinomialHMM(np.array([[0.7, 0.3], [0.4, 0.6]]), np.array([[0.4, 0.3, 0.1, 0.1, 0.1], [0.1, 0.1, 0.2, 0.3, 0.3]]), np.array([0.6, 0.4]))
 
 
-def _sequences(spark, sf):
+def _sequences(spark, sf, most=None):
+    """Whole sequences; their first `most` observations for the queries whose SQL has no more."""
     names = table(spark, sf, "events").select("event_type").distinct()
     kinds = [r[0] for r in names.orderBy("event_type").limit(5).collect()]
     own = F.array_position(F.array(*map(F.lit, kinds)), F.col("arm")).cast("int") - 1
-    e = _log(spark, sf).where("t <= 30").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", own.alias("o")))).alias("e"))
+    log = _log(spark, sf)
+    e = (log if most is None else log.where(F.col("t") <= most)).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", own.alias("o")))).alias("e"))
     return e.select("user_id", F.transform("e", lambda v: v["o"]).alias("obs"))
 
 
 def _forward(spark, sf):
-    return _sequences(spark, sf).select("user_id", rounded(HMM.log_likelihood(F.col("obs"))).alias("log_likelihood"))
+    return _sequences(spark, sf, 30).select("user_id", rounded(HMM.log_likelihood(F.col("obs"))).alias("log_likelihood"))
 
 
 def _viterbi(spark, sf):
-    v = _sequences(spark, sf).select("user_id", HMM.viterbi(F.col("obs")).alias("v"))
+    v = _sequences(spark, sf, 30).select("user_id", HMM.viterbi(F.col("obs")).alias("v"))
     return v.select("user_id", rounded("v.log_prob").alias("log_prob"), F.array_join(F.col("v.path").cast("array<string>"), "").alias("path"))
 
 

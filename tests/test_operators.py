@@ -135,3 +135,21 @@ def test_deconvolution_places_the_kernel():
     x[0, 1, 0, 0] = 1
     out = N.deconv2d({"c.w": A.Var(w), "c.b": A.Var(np.zeros(1))}, "c", A.Var(x), 2).data[0, :, :, 0]
     assert out.shape == (5, 5) and np.allclose(out[2:5, 0:3], w[:, :, 0, 0]) and out.sum() == w.sum()
+
+
+def test_baum_welch_reads_whole_sequences(spark):
+    from conftest import SF
+
+    from quern.plans import latent
+
+    e = spark.read.parquet(f"{SF}/events.parquet").orderBy("user_id", "ts", "event_id").collect()
+    kinds = sorted({r["event_type"] for r in e})
+    a, b, pi = latent.HMM.a, latent.HMM.b, latent.HMM.pi
+    want = 0.0
+    for user in {r["user_id"] for r in e}:
+        f = pi
+        for k, r in enumerate(r for r in e if r["user_id"] == user):
+            f = (f @ a if k else f) * b[:, kinds.index(r["event_type"])]
+            want, f = want + np.log(f.sum()), f / f.sum()
+    got = {r["round"]: r["log_likelihood"] for r in latent.QUERIES["hmm_baum_welch"](spark, SF).collect()}
+    assert abs(got[0] - want) < 1e-9 * abs(want)
