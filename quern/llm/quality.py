@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import bucket_of, labelled_sample, session, table
+from quern.llm.common import U64, bucket_of, labelled_sample, mix, session, table
 
 
 @dataclass(frozen=True)
@@ -38,19 +38,34 @@ _RUNS = re.compile(r"(.)\1+")
 
 def _shape(word: str) -> str:
     """Letters by case, digits as 9, other characters as they are; runs once."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:40])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return _RUNS.sub(r"\1", out)
 
 
-class _Shapes(dict):
-    def __missing__(self, word: str) -> str:
-        if len(self) > 300_000:
-            self.clear()
-        out = self[word] = _shape(word)
+class _Known(dict):
+    """What a function gives for words, remembered for short ones. Cleared when large, so its memory is bounded."""
+
+    def __init__(self, of: Callable[[str], object]):
+        self.of = of
+
+    def __missing__(self, word: str):
+        out = self.of(word)
+        if len(word) <= 40:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = out
         return out
 
 
-_SHAPES = _Shapes()
+def _hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+
+
+_SHAPES = _Known(_shape)
+_WORD_KEYS, _SHAPE_KEYS = _Known(lambda w: _hash(f"word {w.lower()}")), _Known(lambda s: _hash(f"shape {s}"))
+#: Shares from which a feature of its own is on, and what is added to a key for it; the first is on for any share.
+_LEVELS = np.array([0.0, *(2.0 ** (k - 13) for k in range(1, 13))])
+_LEVEL_KEYS = np.arange(len(_LEVELS), dtype=U64) * U64(0x9E3779B97F4A7C15)
 
 
 def _steps(name: str, share: float) -> list[str]:
@@ -58,19 +73,12 @@ def _steps(name: str, share: float) -> list[str]:
     return [f"{name}>={k}" for k in range(1, 13) if share >= 2.0 ** (k - 13)]
 
 
-def tokens(text: str | None) -> list[str]:
-    """What is hashed of a whole text: shares of word shapes, of frequent words, of repetition and length."""
-    words = (text or "").split()
+def tokens(text: str | None, words: list[str], counts: Counter) -> list[str]:
+    """What is hashed of a whole text besides its words and shapes: shares of repetition, and length."""
     n = len(words)
     out = [f"len>={k}" for k in range(20) if n >= 2**k]
     if not n:
         return [*out, "empty"]
-    shapes = Counter(map(_SHAPES.__getitem__, words))
-    for s, c in shapes.most_common(40):
-        out += _steps(f"shape {s}", c / n)
-    counts = Counter(words)
-    for w, c in counts.most_common(20):
-        out += _steps(f"word {w.lower()}", c / n)
     out += _steps("distinct", len(counts) / n) + _steps("commonest", max(counts.values()) / n)
     lines = Counter(x for x in text.split("\n") if x.strip())
     out += _steps("repeated lines", 1 - len(lines) / max(1, sum(lines.values())))
@@ -78,8 +86,21 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
-def hashed(text: str | None, bits: int) -> list[int]:
-    return sorted({xxhash.xxh3_64_intdigest(t) >> (64 - bits) for t in tokens(text)})
+def _shares(keys: _Known, counts: Counter, n: int) -> np.ndarray:
+    """Hashes of all that counts has, one for each level that its share of n reaches."""
+    h = np.fromiter(map(keys.__getitem__, counts), dtype=U64, count=len(counts))
+    share = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / n
+    return mix(h[:, None] + _LEVEL_KEYS)[share[:, None] >= _LEVELS]
+
+
+def hashed(text: str | None, bits: int) -> np.ndarray:
+    """Sorted distinct feature numbers of a whole text: all its words and shapes count, wherever they stand."""
+    words = (text or "").split()
+    counts, shapes = Counter(words), Counter(map(_SHAPES.__getitem__, words))
+    h = np.array([_hash(t) for t in tokens(text, words, counts)], dtype=U64)
+    if words:
+        h = np.concatenate([h, _shares(_WORD_KEYS, counts, len(words)), _shares(_SHAPE_KEYS, shapes, len(words))])
+    return np.unique(h >> U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
 
 
 @dataclass(frozen=True)
@@ -97,31 +118,43 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def fit_weights(rows: list[list[int]], y: np.ndarray, grades: tuple[float, ...], s: Settings) -> Model:
+def _blocks(rows: Sequence[Sequence[int] | np.ndarray], n: np.ndarray, most: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that have features, about `most` of these at a time, so that what a step computes stays small:
+    (features, row numbers, where each row begins)."""
+    own = np.flatnonzero(n)
+    cuts = np.flatnonzero(np.diff(np.cumsum(n[own]) // most)) + 1
+    return [(np.concatenate([np.asarray(rows[k]) for k in x]), x, np.cumsum(n[x]) - n[x]) for x in np.split(own, cuts) if len(x)]
+
+
+def fit_weights(rows: Sequence[Sequence[int] | np.ndarray], y: np.ndarray, grades: tuple[float, ...], s: Settings) -> Model:
     """Maximum likelihood with a ridge, by Adam. y: positions in grades. Thresholds are kept in order by
     being written as a first one and positive gaps."""
     size, k = 1 << s.bits, len(grades)
-    col = np.concatenate([np.array(r, dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n = np.array([len(r) for r in rows], dtype=np.int64)
+    blocks = _blocks(rows, n)
     share = np.clip(np.cumsum(np.bincount(y, minlength=k))[:-1] / max(len(y), 1), 1e-3, 1 - 1e-3)
     cuts = np.log(share / (1 - share))
     if k == 1 or not len(rows):
         return Model(grades, np.zeros(size), cuts[: k - 1], s.bits)
-    norm = np.array([1 / np.sqrt(max(len(r), 1)) for r in rows])
+    norm = 1 / np.sqrt(np.maximum(n, 1))
     p = np.concatenate([np.zeros(size), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, s.steps + 1):
         gaps = np.exp(p[size + 1 :])
         cuts = p[size] + np.concatenate([[0], np.cumsum(gaps)])
-        z = np.bincount(row, weights=p[col] * norm[row], minlength=len(rows))
+        z = np.zeros(len(rows))
+        for col, own, starts in blocks:
+            z[own] = np.add.reduceat(p[col], starts) * norm[own]
         edge = np.concatenate([[-np.inf], cuts, [np.inf]])
         hi, lo = sig(edge[y + 1] - z), sig(edge[y] - z)
         d_hi, d_lo = hi * (1 - hi), lo * (1 - lo)
         q = np.maximum(hi - lo, 1e-12)
         gz = (d_hi - d_lo) / q / len(rows)  # of the negative log-likelihood
         g = np.zeros_like(p)
-        g[:size] = np.bincount(col, weights=gz[row] * norm[row], minlength=size) + s.ridge * p[:size]
+        g[:size] = s.ridge * p[:size]
+        for col, own, _ in blocks:
+            g[:size] += np.bincount(col, weights=np.repeat(gz[own] * norm[own], n[own]), minlength=size)
         gc = np.zeros(k - 1)
         np.add.at(gc, np.minimum(y, k - 2), np.where(y < k - 1, -d_hi / q / len(rows), 0))
         np.add.at(gc, np.maximum(y - 1, 0), np.where(y > 0, d_lo / q / len(rows), 0))
@@ -137,16 +170,16 @@ def fit(docs: DataFrame, grades: DataFrame, settings: Settings = Settings()) ->
     With no graded document at all there is one grade, 0."""
     session(docs.sparkSession)
     rows = labelled_sample(docs, grades.select("id", F.col("y").cast("double").alias("y")), settings.sample)
-    bits, schema = settings.bits, "y double, f array<int>"
+    bits, schema = settings.bits, "y double, f binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch_of(schema, {"y": b.column("y"), "f": [hashed(t, bits) for t in b.column("text").to_pylist()]})
+            yield batch_of(schema, {"y": b.column("y"), "f": [hashed(t, bits).tobytes() for t in b.column("text").to_pylist()]})
 
     data = rows.mapInArrow(run, schema).collect()  # feature numbers of at most `sample` rows
     levels = tuple(sorted({r["y"] for r in data})) or (0.0,)
     at = {g: i for i, g in enumerate(levels)}
-    return fit_weights([r["f"] for r in data], np.array([at[r["y"]] for r in data], dtype=np.int64), levels, settings)
+    return fit_weights([np.frombuffer(r["f"], dtype=np.uint16 if bits <= 16 else np.uint32) for r in data], np.array([at[r["y"]] for r in data], dtype=np.int64), levels, settings)
 
 
 def score(docs: DataFrame, m: Model, keep_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

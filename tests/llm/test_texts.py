@@ -72,6 +72,18 @@ def test_quality_orders_three_grades(spark):
     assert Q.fit(docs, docs.select(F.col("doc_id").alias("id"), F.lit(None).cast("double").alias("y"))).grades == (0.0,)
 
 
+def test_quality_sees_every_word_and_shape_in_any_order():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(30)] + ["x-" * 30, "x-" * 30 + "?"] + ["!" * (k % 7) + "a-" * k for k in range(45)]
+    own = set(Q.hashed(" ".join(words), 31))
+    for _ in range(5):
+        assert set(Q.hashed(" ".join(rng.permutation(words)), 31)) == own
+    for k in range(len(words)):
+        assert set(Q.hashed(" ".join([*words[:k], "Changed", *words[k + 1 :]]), 31)) != own
+    long = [f"w{k}" for k in range(9000)]  # each word has a share below the least level
+    assert len(set(Q.hashed(" ".join(long), 31))) > 8990 and len(Q.hashed(None, 13))
+
+
 def test_quality_on_held_out_rows(spark):
     r = Q.op10(spark, SF01).join(table(spark, SF01, "labels"), "doc_id").where("held_out").collect()
     assert auc([x["expected_grade"] for x in r], [x["quality"] for x in r]) > 0.9
