@@ -80,9 +80,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme = Scheme(
         hits = _seeds(own, s, "p").join(F.broadcast(seeds), "h").join(F.broadcast(items), "item_id")
         hits = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diag"), "tok", "item")
     else:
-        thin = _seeds(own, s, "p").select("doc_id", "p", "h").join(seeds, "h")
-        thin = thin.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diag")).distinct()
-        hits = thin.join(items, "item_id").join(own, "doc_id")
+        # ids may be null or repeat, so a text is found again by its id and a hash of its tokens
+        own = own.withColumn("text_key", F.xxhash64("tok"))
+        thin = _seeds(own, s, "p").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "p", "h").join(seeds, "h")
+        thin = thin.select("id", "key", "item_id", (F.col("p") - F.col("q")).alias("diag")).distinct()
+        hits = thin.join(items, "item_id").join(own, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")))
     return (
         _verified(hits, s)
         .groupBy("doc_id", "item_id")

@@ -234,6 +234,16 @@ def test_substituted_passages_are_found(spark):
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_broadcast_and_shuffled_seeds_give_the_same_rows(spark):
+    item = [f"w{k}" for k in range(30)]
+    texts = [" ".join(item), "x " * 7 + " ".join(item[3:24]), "y " * 50 + " ".join(item), "nothing here at all of the kind"]
+    rows = [(i, t) for i in (None, 1) for t in (*texts, texts[0])] + [(2, texts[1]), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[10:]))], "item_id long, text string")
+    few, many = (sorted(map(str, D.contaminated(df, bench, D.Scheme(most_broadcast=most)).collect())) for most in (1_000_000, 0))
+    assert few == many and len(few) == 6
+
+
 def test_passages_of_documents_against_plain_search(spark):
     tok = lambda t: re.findall(r"[^\W_]+", t.lower())
     docs = duckdb.sql(f"select doc_id, text from read_parquet('{SF}/documents.parquet')").fetchall()
