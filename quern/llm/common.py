@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -13,23 +15,29 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 U64 = np.uint64
+#: Bytes of an Arrow batch to a Python worker, beyond its first row.
+BATCH_BYTES = 8 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Prepares a session: Python workers find this package, Arrow batches of texts stay small, and a
+    """Prepares a session: Python workers find this package, Arrow batches are bounded in rows and bytes, and a
     checkpoint folder exists.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; one of our own is set only where
-    that is unset, which is right for a local session alone.
+    The folder is the one that the cluster names in spark.checkpoint.dir. Where that is unset, a local session
+    (driver and executors in one process) gets a temporary one, and any other raises: its executors would not
+    share it.
     """
-    env = spark.sparkContext.environment
+    sc = spark.sparkContext
+    env = sc.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-")
-        )
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return spark
 
 
@@ -47,6 +55,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more. It does so when the
+    driver's JVM finds their handles unreachable, which a driver with a large heap may not do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """rows with the columns of their class, where classes has one row for each value of keys and a column c,
+    the number of rows in it.
+
+    Classes that hold over 1/most of all rows are fewer than `most`; these are broadcast, so that none of them
+    sends its rows to one task. The others are joined by a shuffle.
+    """
+    classes = cut(classes)
+    least = max(1000, (classes.agg(F.sum("c")).first()[0] or 0) // most)
+    large = F.broadcast(classes.where(F.col("c") >= least).limit(most))
+    small = classes.where(F.col("c") < least)
+    hot = rows.join(large, keys)
+    cold = rows.join(large.select(*keys), keys, "left_anti").join(small, keys)
+    return hot.unionByName(cold)
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

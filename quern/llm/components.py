@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut
 
 
+#: Edges beyond which the smallest neighbours are written before they are joined.
+LARGE = 2_000_000
+
+
 def _least_neighbour(e: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
@@ -27,12 +31,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
+    # a join with an aggregate of its own key cannot be split; where edges are many, the aggregate is written first
+    least = (lambda x: cut(_least_neighbour(x))) if e.count() > LARGE else _least_neighbour
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        large = both.join(_least_neighbour(both), "u").where("v > u and v <> m").select("v", F.col("m").alias("u")).distinct()
+        large = both.join(least(both), "u").where("v > u and v <> m").select("v", F.col("m").alias("u")).distinct()
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
         small = (
-            down.join(_least_neighbour(down), "u")
+            down.join(least(down), "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
             .select("x.v", "x.u")
             .where("v <> u")

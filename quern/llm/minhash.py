@@ -17,11 +17,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import U64, cut, mix, odd_constants, session, word_hashes
+from quern.llm.common import U64, cut, mix, odd_constants, release, session, table, with_class, word_hashes
 from quern.llm.components import connected_components
 
 MANTISSA = 10
@@ -112,44 +113,58 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, s: Scheme) -> DataFrame:
-    """Rows (id, n, fp1, fp2, sig): the size of the shingle set, a 128-bit fingerprint of the set, and its
-    registers. One pass over the texts, without a shuffle."""
+    """Rows (row, id, tk, n, fp1, fp2, sig): a number of the row's own, a hash of the text, the size of the
+    shingle set, a 128-bit fingerprint of the set, and its registers. One pass over the texts, without a shuffle."""
 
-    schema = "id long, n long, fp1 long, fp2 long, sig binary"
+    schema = "row long, id long, tk long, n long, fp1 long, fp2 long, sig binary"
     total = lambda xs: np.array([x.sum(dtype=U64) for x in xs], dtype=U64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
         for b in batches:
             sets = [shingles(t, s.words) for t in b.column("text").to_pylist()]
             yield batch_of(
                 schema,
                 {
-                    "id": b.column("id"), "n": [len(x) for x in sets], "fp1": total(mix(x ^ U64(0xA5A5)) for x in sets),
-                    "fp2": total(mix(x + U64(0x5BD1E995)) for x in sets), "sig": [r.tobytes() for r in registers(sets, s.registers)],
+                    "row": np.arange(first, first + len(sets), dtype=np.int64), "id": b.column("id"), "tk": b.column("tk"), "n": [len(x) for x in sets],
+                    "fp1": total(mix(x ^ U64(0xA5A5)) for x in sets), "fp2": total(mix(x + U64(0x5BD1E995)) for x in sets),
+                    "sig": [r.tobytes() for r in registers(sets, s.registers)],
                 },
             )
+            first += len(sets)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def text_key(text: Column) -> Column:
+    """A hash that tells texts apart; rows with equal ids and keys have equal decisions."""
+    return F.xxhash64(text.cast("string"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).cast("string").alias("text"))
 
 
 def _bands(reps: DataFrame, s: Scheme) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                regs = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), s.registers)
-                yield pd.DataFrame({"key": band_keys(regs, s.bands, s.rows).ravel(), "id": np.repeat(pdf["id"].to_numpy(), s.bands)})
+    schema = "key long, rep long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                regs = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint16).reshape(b.num_rows, s.registers)
+                yield batch_of(schema, {"key": band_keys(regs, s.bands, s.rows).ravel(), "rep": np.repeat(b.column("rep").to_numpy(), s.bands)})
 
-    return reps.select("id", "sig").mapInPandas(run, "key long, id long")
+    return reps.select("rep", "sig").mapInArrow(run, schema)
 
 
 def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _estimated(pairs: DataFrame, sigs: DataFrame, s: Scheme) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, s: Scheme) -> DataFrame:
     """Of pairs (a, b), those whose sizes and estimates allow a link: (a, b, est)."""
-    side = lambda x: sigs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(F.col("n_a"), F.col("n_b"), s.percent))
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").where(_sizes_fit(F.col("n_a"), F.col("n_b"), s.percent))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -161,10 +176,34 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, s: Scheme) -> DataFrame:
     return joined.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long, est double")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, s: Scheme) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets meet the threshold."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
-    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").sortWithinPartitions("a")
+class _Sources:
+    """Texts of classes, read again from the documents: a class is found by the id and text key of one of its rows.
+
+    many: rows of a table of wanted texts up to which it is broadcast (it is counted first); beyond that the
+    texts are shuffled.
+    """
+
+    def __init__(self, texts: DataFrame, reps: DataFrame, many: int = 500_000):
+        self.texts, self.many = texts, many
+        self.keys = reps.select("rep", "id", "tk", "again")
+
+    def of(self, wanted: DataFrame, rep: str, name: str) -> DataFrame:
+        """wanted, whose column rep holds classes, with their texts in the column name."""
+        columns = wanted.columns
+        keys = self.keys.select(F.col("rep").alias(rep), F.col("id").alias("_id"), F.col("tk").alias("_tk"), "again")
+        wanted = cut(wanted.join(keys, rep))
+        few = wanted.agg(F.count("*"), F.sum(F.col("again").cast("long"))).first()
+        found = lambda w: self.texts.join(F.broadcast(w) if few[0] <= self.many else w, (F.col("tk") == F.col("_tk")) & F.col("id").eqNullSafe(F.col("_id"))).select(*columns, F.col("text").alias(name))
+        if not few[1]:
+            return found(wanted)
+        # rows that repeat both id and text stand for one text
+        return found(wanted.where("not again")).unionByName(found(wanted.where("again")).dropDuplicates(columns))
+
+
+def _confirmed(pairs: DataFrame, sources: _Sources, s: Scheme) -> DataFrame:
+    """Of distinct pairs (a, b), those whose full shingle sets meet the threshold."""
+    other = sources.of(pairs.select("a").distinct(), "a", "t_a")
+    joined = sources.of(pairs.select("a", "b"), "b", "t_b").join(other, "a").sortWithinPartitions("a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, x = None, None
@@ -181,9 +220,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, s: Scheme) -> DataFrame:
     return joined.select("a", "b", "t_a", "t_b").mapInPandas(run, "a long, b long")
 
 
-def _labelled(df: DataFrame, labels: DataFrame | None, on: str, name: str) -> DataFrame:
-    if labels is None:
-        return df.withColumn(name, F.col(on))
+def _labelled(df: DataFrame, labels: DataFrame, on: str, name: str) -> DataFrame:
     found = labels.select(F.col("id").alias(on), F.col("component_id").alias("_c"))
     return df.join(found, on, "left").withColumn(name, F.coalesce("_c", on)).drop("_c")
 
@@ -207,42 +244,54 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 8192) -> np
     return out
 
 
-def _blocked(members: DataFrame, sigs: DataFrame, texts: DataFrame, s: Scheme) -> DataFrame:
-    """Links within large buckets, (key, id, comp, c): members are dealt into blocks, and each pair of blocks
-    is one group, of 2 * block members or so whatever the size of the bucket. A group estimates the pairs of
-    different components and confirms the likely ones on full sets; what it emits is, for each document that
-    it links, the smallest one reached there, so rows grow with members and not with pairs."""
-    dealt = (
-        members.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("c") / s.block)).cast("int"))
-        .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("i", F.least("blk", "other"))
-        .withColumn("j", F.greatest("blk", "other"))
-        .join(sigs.select("id", "n", "sig"), "id")
-        .join(texts, "id")
-    )
+def _blocked(members: DataFrame, reps: DataFrame, sources: _Sources, s: Scheme) -> DataFrame:
+    """Links within large buckets, (a, b), from members (key, rep, comp, c, most): most is the bucket's largest
+    component, so all that is left to compare are members outside it with all members.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Both sides are dealt into blocks, and a pair of blocks is one group, of 2 * block members or so whatever the
+    size of the bucket. Groups first keep the members that some estimate allows to link with another component;
+    only their texts are read, and a second pass confirms on full sets. What it emits is, for each member that
+    it links, the smallest one reached there, so rows grow with members and not with pairs.
+    """
+    size = members.groupBy("key").agg(F.count_if(F.expr("comp <> most")).alias("outside"), F.count("*").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / s.block)).cast("int")
+    size = cut(size.select("key", blocks(F.col("outside")).alias("ni"), blocks(F.col("all")).alias("nj")))
+    dealt = members.join(size, "key")
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = dealt.where("comp <> most").select("key", "rep", "comp", F.lit(1).alias("side"), at("ni").alias("i"), every("nj").alias("j"))
+    inner = dealt.select("key", "rep", "comp", F.lit(0).alias("side"), every("ni").alias("i"), at("nj").alias("j"))
+    placed = outer.unionByName(inner).join(reps.select("rep", "n", "sig"), "rep")
+    schema = "key long, i int, j int, side int, rep long, comp long, n long"
+
+    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), -1)
-        ids, comp, n, blk = (pdf[c].to_numpy() for c in ("id", "comp", "n", "blk"))
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        likely = np.zeros((len(x), len(y)), dtype=bool)
-        for k, at in enumerate(x):
-            ok = (comp[y] != comp[at]) & (np.minimum(n[y], n[at]) * 100 >= np.maximum(n[y], n[at]) * s.percent)
-            likely[k, ok] = estimate(regs[y[ok]], regs[at]) >= s.least_estimate
-        kx, ky = likely.any(axis=1), likely.any(axis=0)
-        x, y, likely = x[kx], y[ky], likely[kx][:, ky]
+        rep, comp, n, side = (pdf[c].to_numpy() for c in ("rep", "comp", "n", "side"))
+        x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        keep = np.zeros(len(pdf), dtype=bool)
+        for at in x:
+            ok = y[(comp[y] != comp[at]) & (np.minimum(n[y], n[at]) * 100 >= np.maximum(n[y], n[at]) * s.percent)]
+            hit = ok[estimate(regs[ok], regs[at]) >= s.least_estimate] if len(ok) else ok
+            keep[hit] = True
+            keep[at] |= len(hit) > 0
+        return pdf.loc[keep, ["key", "i", "j", "side", "rep", "comp", "n"]]
+
+    groups = ["key", "i", "j"]
+    left = cut(placed.select(*groups, "side", "rep", "comp", "n", "sig").groupBy(*groups).applyInPandas(likely, schema))
+    texts = sources.of(left.select("rep").distinct(), "rep", "text")
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        rep, comp, n, side = (pdf[c].to_numpy() for c in ("rep", "comp", "n", "side"))
+        x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         label = {}
-        if len(x):
-            sets = {at: shingles(t, s.words) for at, t in ((at, pdf["text"].iloc[at]) for at in np.union1d(x, y))}
-            both = _overlaps([sets[at] for at in x], [sets[at] for at in y])
-            hit = likely & (100 * both >= s.percent * (n[x][:, None] + n[y][None] - both))
-            label = _reached(ids[x], ids[y], hit)
+        if len(x) and len(y):
+            sets = [shingles(t, s.words) for t in pdf["text"]]
+            both = _overlaps([sets[k] for k in x], [sets[k] for k in y])
+            hit = (comp[x][:, None] != comp[y][None]) & (100 * both >= s.percent * (n[x][:, None] + n[y][None] - both))
+            label = _reached(rep[x], rep[y], hit)
         return pd.DataFrame({"a": list(label.values()), "b": list(label)}, dtype="int64")
 
-    columns = ["key", "i", "j", "id", "comp", "n", "blk", "sig", "text"]
-    return dealt.select(*columns).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return left.join(texts, "rep").groupBy(*groups).applyInPandas(linked, "a long, b long")
 
 
 def _reached(a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> dict[int, int]:
@@ -262,71 +311,96 @@ def _reached(a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> dict[int, int]:
     return {k: v for k, v in best.items() if k != v}
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = Scheme()) -> DataFrame:  # noqa: B008
-    """Groups near-duplicate documents: rows (id, n_shingles, component_id, kept).
-
-    component_id is the smallest id that a document reaches by links, its own included; kept marks that
-    document. Texts that are null, empty or white space have no shingles and link with nothing. Equal sets
-    are one class before any comparison, so exact copies are never paired. A bucket is first compared with
-    its smallest member alone; of larger buckets whose members are not connected by that, the pairs between
-    different components follow, so no candidate is lost and groups of copies are not expanded into all
-    pairs. Rows with a null id come back with a null component and are not kept; rows that repeat an id come
-    back as often as they occur. Other columns are ignored.
-    """
-    session(docs.sparkSession)
-    s = scheme
-    sketches = cut(sketch(docs, id_col, text_col, s))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    full = sketches.where("n > 0 and id is not null")
-    classes = full.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"))
-    members = cut(full.join(classes, ["fp1", "fp2"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")))
-    reps = members.where("id = rep").dropDuplicates(["id"])
+def _classes(sketches: DataFrame) -> DataFrame:
+    """A row for each distinct shingle set: (fp1, fp2, c, least, rep, again): how many rows have it, the
+    smallest id of them, one row that stands for it (one with an id if any has), and whether other rows repeat
+    both that row's id and its text."""
+    texts = sketches.groupBy("fp1", "fp2", "id", "tk").agg(F.count("*").alias("m"), F.min("row").alias("row"))
+    one = F.min(F.struct(F.isnull("id").alias("no_id"), "row", (F.col("m") > 1).alias("again")))
+    return texts.groupBy("fp1", "fp2").agg(F.sum("m").alias("c"), F.min("id").alias("least"), one.alias("one")).select("fp1", "fp2", "c", "least", "one.row", "one.again").withColumnRenamed("row", "rep")
+
+
+def _candidates(reps: DataFrame, s: Scheme) -> DataFrame:
+    """Rows (key, rep, c, lead): the band keys that several classes share, their sizes and smallest classes."""
     bands = _bands(reps, s)
-    keys = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1")
-    shared = cut(bands.join(keys, "key"))
-    pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    keys = cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1"))
+    return cut(bands.join(keys, "key"))
+
+
+def _links(reps: DataFrame, sources: _Sources, s: Scheme) -> DataFrame:
+    """Edges (a, b) that connect all classes which links connect.
+
+    A bucket is first compared with its smallest class alone, each class with the best estimated of its leads.
+    Of buckets whose members are in several components after that, the pairs between components follow.
+    """
+    spark = reps.sparkSession
+    shared = _candidates(reps, s)
+    release(spark)
+    pairs = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     first = cut(_estimated(pairs, reps, s))
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
-    edges = cut(_confirmed(best, texts, s).distinct())
+    best = cut(first.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"))
+    edges = cut(_confirmed(best, sources, s))
+    release(spark)
     labels = connected_components(edges)
 
-    rest = first.join(best, ["a", "b"], "left_anti")
-    large = shared.where("c > 2 and id <> lead")
-    open_ = _labelled(large, labels, "id", "comp")
+    open_ = cut(_labelled(shared.where("c > 2 and rep <> lead").select("key", "rep"), labels, "rep", "comp"))
     groups = (
         open_.groupBy("key")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"))
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"))
         .where("lo <> hi")
-        .groupBy("c", "sum")
+        .groupBy("c", "sum")  # buckets with the same members count once
         .agg(F.min("key").alias("key"))
         .select("key", "c")
     )
-    left = cut(open_.select("key", "id", "comp").join(groups, "key"))
-    one, two = (left.where(F.col("c") <= s.few).select("key", F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    left = cut(open_.join(cut(groups), "key"))
+    few, many = left.where(F.col("c") <= s.few), left.where(F.col("c") > s.few)
+    one, two = (few.select("key", F.col("rep").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
     more = one.join(two, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct()
-    rest = rest.select("a", "b").unionByName(_estimated(more, reps, s).select("a", "b"))
-    rest = rest.distinct()
+    rest = first.join(best, ["a", "b"], "left_anti").select("a", "b").unionByName(_estimated(more, reps, s).select("a", "b")).distinct()
     rest = _labelled(_labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
-    more = _blocked(left.where(F.col("c") > s.few), reps, texts, s)
-    edges = edges.unionByName(cut(_confirmed(cut(rest), texts, s))).unionByName(cut(more))
-    final = connected_components(edges)
-
-    found = (
-        members.select("id", "rep")
-        .join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-        .select("id", F.coalesce("component_id", "rep").alias("component_id"))
-    )
-    # one id with several texts may belong to several classes; they share the least component then
-    found = found.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    return (
-        sketches.select("id", "n").join(found, "id", "left")
-        .select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+    edges = edges.unionByName(cut(_confirmed(cut(rest), sources, s)))
+    largest = many.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+    if not many.isEmpty():
+        edges = edges.unionByName(cut(_blocked(cut(many.join(cut(largest), "key")), reps, sources, s)))
+    release(spark)
+    return edges
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = Scheme()) -> DataFrame:  # noqa: B008
+    """Groups near-duplicate documents: rows (id, text_key, n_shingles, component_id, kept), one for each row.
+
+    Every row is a document of its own, whatever its id. component_id is the smallest id that it reaches by
+    links, its own included; kept marks rows that have this id themselves. So rows that repeat an id with
+    different texts are compared and grouped each by its own text, and rows that repeat both are kept or not
+    together. A row with a null id links like any other: its component_id is the smallest id reached, null if
+    there is none, and it is not kept. Texts that are null, empty or white space have no shingles, link with
+    nothing, and are their own component. text_key is a hash of the text. Other columns are ignored; of an empty
+    table there are no rows.
+
+    Equal sets are one class before any comparison, so exact copies are never paired, and no group of copies is
+    expanded into all pairs; yet no candidate pair of different components goes uncompared.
+    """
+    spark = session(docs.sparkSession)
+    sketches = cut(sketch(docs, id_col, text_col, scheme))
+    full = sketches.where("n > 0")
+    classes = cut(_classes(full))
+    reps = classes.select("rep", "again").join(full.select(F.col("row").alias("rep"), "id", "tk", "n", "sig"), "rep")
+    reps = cut(reps)
+    edges = _links(reps, _Sources(_texts(docs, id_col, text_col), reps), scheme)
+    found = connected_components(edges).withColumnRenamed("id", "rep")
+    # the smallest id of a component is that of all its classes
+    least = cut(classes.select("rep", "least").join(found, "rep").groupBy("component_id").agg(F.min("least").alias("of_all")))
+    named = classes.join(found.join(least, "component_id").select("rep", "of_all"), "rep", "left")
+    named = named.select("fp1", "fp2", "c", F.coalesce("of_all", "least").alias("component_id"))
+    columns = ["id", "tk", "n"]
+    grouped = with_class(full.select(*columns, "fp1", "fp2"), named, ["fp1", "fp2"]).select(*columns, "component_id")
+    out = grouped.unionByName(sketches.where("n = 0").select(*columns, F.col("id").alias("component_id")))
+    return out.select("id", F.col("tk").alias("text_key"), F.col("n").alias("n_shingles"), "component_id").withColumn(
+        "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     )
 
 
-def op3(spark, sf_dir: str) -> DataFrame:
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 5-word shingles, similarity 0.85."""
-    from quern.llm.common import table
-
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")

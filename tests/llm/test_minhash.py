@@ -5,8 +5,10 @@ from itertools import combinations
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import minhash as M
+from quern.llm.common import with_class
 from quern.llm.components import connected_components
 
 
@@ -63,11 +65,48 @@ def test_a_large_group_of_unequal_copies(spark):
     check(spark, rows, M.Scheme(block=16, few=4))
 
 
+def by_row(rows, percent=85):
+    """What near_duplicates states for rows (id, text), each a document of its own: sorted (id, n, component)."""
+    sets = [shingle_set(t) for _, t in rows]
+    comp = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        x, y = sets[a], sets[b]
+        if comp[a] != comp[b] and x and y and 100 * len(x & y) >= percent * len(x | y):
+            comp = [comp[a] if c == comp[b] else c for c in comp]
+    least = {}
+    for (i, _), c in zip(rows, comp, strict=True):
+        least[c] = i if least.get(c) is None else least[c] if i is None else min(least[c], i)
+    return sorted(((i, len(x), least[c], i is not None and i == least[c]) for (i, _), x, c in zip(rows, sets, comp, strict=True)), key=str)
+
+
+def check_rows(spark, rows, scheme=M.Scheme()):  # noqa: B008
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(7)).withColumn("tk", F.lit("x")).withColumn("row", F.lit(None))
+    got = M.near_duplicates(df, scheme=scheme).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == by_row(rows, scheme.percent)
+
+
 def test_nulls_repeats_empty_and_extra_columns(spark):
-    df = spark.createDataFrame([(1, "a b c d e f", 7), (1, "a b c d e f", 8), (None, "a b c d e f", 9), (3, "a b c d e f", 1)], "doc_id long, text string, n long").withColumnRenamed("n", "id")
-    got = M.near_duplicates(df).collect()
-    assert sorted((r["id"] or -1, r["component_id"] or -1, r["kept"], r["n_shingles"]) for r in got) == [(-1, -1, False, 2), (1, 1, True, 2), (1, 1, True, 2), (3, 1, False, 2)]
-    assert M.near_duplicates(df.limit(0)).count() == 0
+    text = "a b c d e f"
+    check_rows(spark, [(1, text), (1, text), (None, text), (3, text), (4, None), (None, None), (5, ""), (None, "other words"), (None, "other words")])
+    assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"{x}{k}" for k in rng.integers(0, 10**6, 80)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (9, c), (9, a + " more"), (None, c + " more"), (None, c + " more"), (8, c + " more words")]
+    check_rows(spark, rows)
+    for share in (0.01, 0.03):
+        made = [f"w{k}" for k in rng.integers(0, 4000, 150)]
+        rows += [(int(i) if i else None, edited(rng, made, share)) for i in rng.integers(0, 12, 60)]
+    check_rows(spark, rows, M.Scheme(block=16, few=4))
+
+
+def test_classes_join_alike_whether_broadcast_or_shuffled(spark):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(50)] + [(0, k) for k in range(5000)], "key long, x long")
+    classes = rows.groupBy("key").agg(F.count("*").alias("c"), F.max("x").alias("m"))
+    want = sorted(tuple(r) for r in rows.join(classes, "key").collect())
+    assert sorted(tuple(r) for r in with_class(rows, classes, ["key"]).collect()) == want
 
 
 @settings(max_examples=30, deadline=None)
