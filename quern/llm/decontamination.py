@@ -13,26 +13,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import session, table
+from quern.llm.common import session, table, text_key
 
 WORD = r"[\p{L}\p{N}]+"
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """masks: places of a window that are hashed; with these two, any 16 laid-over tokens of which 13 or more
-    agree hold a hit (all 560 ways of three substitutions were tried). window and share: an overlap counts if
-    `window` tokens in a row (or all of a shorter item) agree in that share of places.
-    most_broadcast: rows of the seed table up to which it is broadcast; beyond that the join is shuffled."""
+    """masks: places of a window that are hashed, for items of `short` tokens or more; with these two, every way
+    of placing the substitutions that verification allows leaves a hit. short_masks do the same for items of
+    `least` to short - 1 tokens (all placements were tried, for 6 to 32 tokens); documents are hashed with them
+    only where there are such items. Items of fewer than `least` tokens are no evidence. window and share: an
+    overlap counts if `window` tokens in a row (or all of a shorter item) agree in that share of places.
+    most_broadcast, most_bytes: rows of the seed table, and bytes of items, up to which both are broadcast;
+    beyond that the joins are shuffled."""
 
     masks: tuple[tuple[int, ...], ...] = ((0, 2, 3, 4, 5), (0, 1, 2, 4, 5))
+    short_masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4))
+    least: int = 6
+    short: int = 13
     window: int = 16
     share: float = 0.8
     most_broadcast: int = 1_000_000
-
-    @property
-    def span(self) -> int:
-        return 1 + max(max(m) for m in self.masks)
+    most_bytes: int = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -40,11 +43,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _seeds(df: DataFrame, s: Scheme, pos: str) -> DataFrame:
+def _hashes(pos: Column, masks: tuple[tuple[int, ...], ...], first: int) -> list[Column]:
+    """What each mask takes of tok from pos on, hashed; null where it would reach beyond the end."""
+    took = lambda k, mask: F.xxhash64(F.lit(first + k), *(F.get("tok", pos + o) for o in mask))
+    return [F.when(pos + max(mask) < F.size("tok"), took(k, mask)) for k, mask in enumerate(masks)]
+
+
+def _seeds(df: DataFrame, s: Scheme, pos: str, long: bool, short: bool) -> DataFrame:
     """A row for each window and mask of tok: pos, and the hash h of the tokens that the mask takes."""
-    at = df.where(F.size("tok") >= s.span).withColumn(pos, F.explode(F.sequence(F.lit(0), F.size("tok") - s.span)))
-    hashes = [F.xxhash64(F.lit(k), *(F.get("tok", F.col(pos) + o) for o in mask)) for k, mask in enumerate(s.masks)]
-    return at.withColumn("h", F.explode(F.array(*hashes)))
+    at = df.where(F.size("tok") >= s.least).withColumn(pos, F.explode(F.sequence(F.lit(0), F.size("tok") - 1)))
+    hashes = (_hashes(F.col(pos), s.masks, 0) if long else []) + (_hashes(F.col(pos), s.short_masks, len(s.masks)) if short else [])
+    return at.withColumn("h", F.explode(F.array(*hashes))).where("h is not null")
 
 
 def _agreement(s: Scheme) -> tuple[Column, Column, Column]:
@@ -63,31 +72,39 @@ def _verified(hits: DataFrame, s: Scheme) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:  # noqa: B008
-    """Rows (doc_id, item_id, item_tokens, matched, doc_start): the documents that hold a passage of an item,
-    with the tokens that agree on the best overlay and the place in the document where the item would begin.
-
-    Items with fewer tokens than a mask spans are no evidence and match nothing; so do null and empty texts.
-    Rows that repeat a document or an item repeat nothing here. The seed table is broadcast after its rows
-    are counted, and joined by a shuffle where there are too many; results are the same.
+    """Rows (doc_id, text_key, item_id, item_tokens, matched, doc_start): the documents that hold a passage of
+    an item, with the tokens that agree on the best overlay and the place in the document where the item would
+    begin.
+
+    Every row of docs is a document of its own: rows that share an id, null or not, are told apart by text_key,
+    the hash of their text, and rows that share both give one row. Rows that repeat an item repeat nothing; rows
+    that share an item id are all searched for, and the best counts. Null and empty texts match nothing, nor do
+    items of fewer than scheme.least tokens. Other columns are ignored. Whether seeds and items are broadcast or
+    shuffled depends on their counted size; results are the same.
     """
     session(docs.sparkSession)
     s = scheme
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tok")).where(F.size("tok") >= s.span)
-    own = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tok"))
-    seeds = _seeds(items, s, "q").select("h", "item_id", "q").distinct()
-    items = items.select("item_id", F.col("tok").alias("item")).distinct()
-    if seeds.count() <= s.most_broadcast:
-        hits = _seeds(own, s, "p").join(F.broadcast(seeds), "h").join(F.broadcast(items), "item_id")
-        hits = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diag"), "tok", "item")
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tok")).where(F.size("tok") >= s.least).distinct()
+    long, short = items.where(F.size("tok") >= s.short), items.where(F.size("tok") < s.short)
+    size = items.agg(F.count_if(F.size("tok") < s.short), F.sum(F.size("tok")), F.sum(F.length(F.array_join("tok", " ")))).first()
+    own = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), tokens(F.col(text_col)).alias("tok"))
+    of_docs = _seeds(own, s, "p", True, size[0] > 0)
+    seeds = _seeds(long, s, "q", True, False).unionByName(_seeds(short, s, "q", False, True)).select("h", "item_id", "q", F.col("tok").alias("item"))
+    # a window gives a seed for each mask at most
+    if (size[1] or 0) * max(len(s.masks), len(s.short_masks)) <= s.most_broadcast and (size[2] or 0) <= s.most_bytes:
+        numbered = F.broadcast(items.select(F.xxhash64("tok").alias("item_key"), F.col("tok").alias("item"), "item_id"))
+        thin = F.broadcast(seeds.select("h", F.xxhash64("item").alias("item_key"), "q").distinct())
+        hits = of_docs.join(thin, "h").withColumn("diag", F.col("p") - F.col("q"))
+        hits = hits.join(numbered, "item_key")
     else:
-        # ids may be null or repeat, so a text is found again by its id and a hash of its tokens
-        own = own.withColumn("text_key", F.xxhash64("tok"))
-        thin = _seeds(own, s, "p").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "p", "h").join(seeds, "h")
-        thin = thin.select("id", "key", "item_id", (F.col("p") - F.col("q")).alias("diag")).distinct()
-        hits = thin.join(items, "item_id").join(own, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id")))
+        thin = of_docs.select("doc_id", "text_key", "p", "h").join(seeds.select("h", F.xxhash64("item").alias("item_key"), "q").distinct(), "h")
+        thin = thin.select("doc_id", "text_key", "item_key", (F.col("p") - F.col("q")).alias("diag")).distinct()
+        texts = own.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "tok")
+        hits = thin.join(items.select(F.xxhash64("tok").alias("item_key"), F.col("tok").alias("item"), "item_id"), "item_key")
+        hits = hits.join(texts, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return (
-        _verified(hits, s)
-        .groupBy("doc_id", "item_id")
+        _verified(hits.select("doc_id", "text_key", "item_id", "diag", "tok", "item"), s)
+        .groupBy("doc_id", "text_key", "item_id")
         .agg(
             F.max(F.size("item")).cast("long").alias("item_tokens"), F.max("matched").cast("long").alias("matched"),
             F.max_by(F.col("diag"), F.struct("matched", -F.col("diag"))).cast("long").alias("doc_start"),
@@ -97,4 +114,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme = Scheme(
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")

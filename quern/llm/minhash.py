@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import U64, cut, mix, odd_constants, release, session, table, with_class, word_hashes
+from quern.llm.common import U64, cut, mix, odd_constants, release, session, table, text_key, with_class, word_hashes
 from quern.llm.components import connected_components
 
 MANTISSA = 10
@@ -136,11 +136,6 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, s: Scheme) -> DataFrame:
     return _texts(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def text_key(text: Column) -> Column:
-    """A hash that tells texts apart; rows with equal ids and keys have equal decisions."""
-    return F.xxhash64(text.cast("string"))
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).cast("string").alias("text"))
 

@@ -1,6 +1,7 @@
 """Toxicity, quality, language model, secrets, decontamination."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -229,8 +230,7 @@ def test_substituted_passages_are_found(spark):
     for most in (1_000_000, 0):
         got = D.contaminated(df, bench, D.Scheme(most_broadcast=most)).collect()
         found = {r["doc_id"] for r in got}
-        # a null id is joined again only where the seeds are broadcast
-        assert found - {None} == want - {None} and {r["item_id"] for r in got} == {1} and len(got) == len(found)
+        assert found == want and {r["item_id"] for r in got} == {1} and len(got) == len(found)
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
 
 
@@ -241,7 +241,29 @@ def test_broadcast_and_shuffled_seeds_give_the_same_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[10:]))], "item_id long, text string")
     few, many = (sorted(map(str, D.contaminated(df, bench, D.Scheme(most_broadcast=most)).collect())) for most in (1_000_000, 0))
-    assert few == many and len(few) == 6
+    assert few == many and len(few) == 2 * 3 * 2 + 2
+
+
+def test_every_allowed_substitution_is_found(spark):
+    """Items of 6 to 16 tokens, with substitutions at every placement that verification allows."""
+    items = {n: [f"t{n}x{k}" for k in range(n)] for n in range(6, 17)}
+    docs = []
+    for n, item in items.items():
+        m = n - math.ceil(0.8 * n)
+        ways = list(itertools.combinations(range(n), m))
+        docs += [(n, " ".join("other" if k in at else w for k, w in enumerate(item))) for at in ways]
+        docs += [(-n, " ".join("other" if k in at else w for k, w in enumerate(item))) for at in itertools.islice(itertools.combinations(range(n), m + 1), 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench).collect())
+    assert got == Counter((n, n) for n, _ in docs if n > 0)
+
+
+def test_passages_in_a_very_long_text(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    text = " ".join(f"v{k % 977}" for k in range(200_000))
+    df = spark.createDataFrame([(1, f"{text} {item} {text}"), (2, text)], "doc_id long, text string")
+    assert [(r["doc_id"], r["doc_start"]) for r in D.contaminated(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 200_000)]
 
 
 def test_passages_of_documents_against_plain_search(spark):
