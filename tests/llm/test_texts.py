@@ -3,7 +3,10 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import string
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,6 +213,32 @@ def test_secrets_of_documents(spark):
         assert r["base_sha256"] == hashlib.sha256(base_spans(texts[r["doc_id"]]).encode()).hexdigest()
 
 
+def test_markov_model_on_held_out_strings(spark):
+    """Precision and recall on strings that no sample was made like: other words, other generators."""
+    r, letters = random.Random(1), string.ascii_letters + string.digits
+    words = sorted({w.lower() for (t,) in duckdb.sql(f"select text from read_parquet('{SF01}/documents.parquet')").fetchall() for w in re.findall("[A-Za-z]{3,12}", t or "")})
+    pick, draw = lambda k: r.choices(words, k=k), lambda signs: "".join(r.choices(signs, k=r.randint(20, 40)))
+    secret = [draw(letters + x) for x in ("", "+/", "-_") for _ in range(300)] + [draw(x + string.digits) for x in (string.ascii_lowercase, string.ascii_uppercase) for _ in range(300)]
+    plain = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(300)] + [c * k for c in "-=_+/" for k in range(20, 60)]
+    plain += ["".join(r.choices(string.digits, k=r.randint(20, 30))) for _ in range(300)]
+    for _ in range(300):
+        plain += ["".join(x.capitalize() for x in pick(4)), "_".join(pick(4)), "_".join(pick(4)).upper(), "/".join(pick(4)), "-".join([*pick(2), f"20{r.randint(10, 30)}-{r.randint(10, 12)}-{r.randint(10, 28)}", *pick(1)])]
+    plain += "AbstractSingletonProxyFactoryBean getHttpServletRequestWrapper UNSUPPORTED_MEDIA_TYPE node_modules/lodash/isEqual Donaudampfschifffahrtsgesellschaft supercalifragilisticexpialidocious".split()
+    rows = [(x, k) for k, xs in ((True, secret), (False, plain)) for x in xs if len(x) >= 20]
+    model = S.trained_on(table(spark, SF, "documents"))
+    got = spark.createDataFrame(rows, "t string, y boolean").select("y", S.is_random(F.col("t"), model).alias("hit")).collect()
+    hits = [x["y"] for x in got if x["hit"]]
+    assert sum(hits) >= 0.99 * len(hits) and sum(hits) >= 0.99 * sum(x["y"] for x in got)
+
+
+def test_secrets_leave_other_columns_alone(spark):
+    names = ["text", "_text", "base", "more", "m0", "row", "a.b"]
+    df = spark.createDataFrame([("token=abcdefghijkl", *range(6)), (None, *range(6)), ("token=abcdefghijkl", *range(6))], names)
+    out = S.scan(df, [0.0] * len(S.train(spark.createDataFrame([], "sample string, secret int"))))
+    assert out.columns == [*names, "spans"] and sorted(len(r["spans"]) for r in out.collect()) == [0, 1, 1]
+    assert all(tuple(r)[1:7] == tuple(range(6)) for r in out.collect()) and S.scan(df.limit(0), [0.0] * 5000).count() == 0
+
+
 def test_no_samples_no_secrets(spark):
     assert set(S.train(spark.createDataFrame([], "sample string, secret int"))) == {0.0}
 
