@@ -16,11 +16,17 @@ from quern.llm.arrow import batch_of
 from quern.llm.common import session, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript svg math iframe object video audio canvas select datalist map textarea".split())
+#: Elements that browsers with scripts never show, or show something else for.
+HIDDEN = frozenset(
+    "head title script style template noscript noembed noframes iframe object video audio canvas datalist area param rp "
+    "desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split()
+)
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td text textarea tfoot th thead tr ul".split()
 )
+#: Elements whose text keeps its lines and spaces.
+PRE = frozenset(("pre", "textarea"))
 #: Blocks with an empty line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure".split())
 #: An opening tag ends these where they are open, up to the nearest tag of the scope.
@@ -32,10 +38,9 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-ENDS_P = BLOCK - frozenset("body html caption legend li dd dt summary tbody td tfoot th thead tr".split())
+ENDS_P = BLOCK - frozenset("body html caption legend li dd dt summary tbody td tfoot th thead tr optgroup option text textarea".split())
 #: Open inline tags do not keep an end tag of an outer block from its element.
 SCOPE = frozenset("table td th caption html".split())
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -45,11 +50,27 @@ class Node:
     attrs: dict[str, str | None] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
 
-    @property
-    def visible(self) -> bool:
+    def style(self) -> dict[str, str]:
+        """The declarations of the style attribute; of several for a property the last."""
+        pairs = (x.partition(":") for x in (self.attrs.get("style") or "").lower().split(";"))
+        return {k.strip(): v.replace("!important", "").strip() for k, _, v in pairs}
+
+    def laid_out(self, parent: Node) -> bool:
+        """Whether the element has a box: not so elements that are never shown, hidden or closed ones, and what
+        a closed details element holds beside its first summary."""
         if self.tag in HIDDEN or "hidden" in self.attrs or (self.tag == "dialog" and "open" not in self.attrs):
             return False
-        return not _UNSEEN.search(self.attrs.get("style") or "")
+        if "style" in self.attrs and self.style().get("display") == "none":
+            return False
+        if parent.tag == "details" and "open" not in parent.attrs:
+            return self is next((c for c in parent.children if isinstance(c, Node) and c.tag == "summary"), None)
+        return True
+
+    def seen(self, before: bool) -> bool:
+        """Whether text right within is visible, where `before` says so of the parent. Unlike display, visibility
+        can be had back within a hidden element."""
+        own = self.style().get("visibility") if "style" in self.attrs else None
+        return own == "visible" if own in ("visible", "hidden", "collapse") else before
 
 
 class TreeBuilder(HTMLParser):
@@ -181,30 +202,33 @@ def render(root: Node) -> str:
     """Text of the visible nodes. The walk keeps its own stack, so depth is bounded by memory alone."""
     top = _Block()
     blocks, pres, lists, tables = [top], [False], [], []
-    stack: list[tuple[Node, Iterator[Node | str]]] = [(root, iter(root.children))]
+    # of open elements: the rest of the children, whether visibility allows text, whether text is drawn (in SVG only that of text elements is)
+    stack: list[tuple[Node, Iterator[Node | str], bool, bool]] = [(root, iter(root.children), True, True)]
     while stack:
-        node, children = stack[-1]
+        node, children, seen, drawn = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
-            _leave(node, blocks, pres, lists, tables)
+            _leave(node, blocks, pres, lists, tables, seen)
         elif isinstance(child, str):
-            if not (node.tag in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "dl") and not child.strip()):
+            closed = node.tag == "details" and "open" not in node.attrs
+            if seen and drawn and not closed and not (node.tag in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "dl", "select", "optgroup") and not child.strip()):
                 blocks[-1].text(child, pres[-1])
-        elif child.visible:
-            _enter(child, blocks, pres, lists, tables)
-            stack.append((child, iter(child.children)))
+        elif child.laid_out(node):
+            shown = child.seen(seen)
+            _enter(child, blocks, pres, lists, tables, shown)
+            stack.append((child, iter(child.children), shown, child.tag != "svg" and (drawn or child.tag in ("text", "foreignobject"))))
     top.flush()
     return "\n".join(top.lines)
 
 
-def _enter(node: Node, blocks: list[_Block], pres: list[bool], lists: list[list], tables: list[list]) -> None:
+def _enter(node: Node, blocks: list[_Block], pres: list[bool], lists: list[list], tables: list[list], seen: bool) -> None:
     b, tag = blocks[-1], node.tag
     if tag in BLOCK:
         b.flush(pre=pres[-1])
         if tag in SPACED or (tag in ("ul", "ol", "menu") and not lists):
             b.space()
-    if tag == "pre":
+    if tag in PRE:
         pres.append(True)
     elif tag in ("ul", "ol", "menu"):
         start = node.attrs.get("start") or "1"
@@ -217,17 +241,21 @@ def _enter(node: Node, blocks: list[_Block], pres: list[bool], lists: list[list]
         blocks.append(_Block())
         if tag in ("td", "th", "caption", "table"):
             pres.append(False)
+    elif not seen:
+        return
     elif tag == "br":
         b.flush(True, pres[-1])
     elif tag == "hr":
         b.add(["---"])
     elif tag == "img" and node.attrs.get("alt"):
         b.text(node.attrs["alt"], False)
+    elif tag == "optgroup" and node.attrs.get("label"):
+        b.add([_SPACE.sub(" ", node.attrs["label"]).strip()])
 
 
-def _leave(node: Node, blocks: list[_Block], pres: list[bool], lists: list[list], tables: list[list]) -> None:
+def _leave(node: Node, blocks: list[_Block], pres: list[bool], lists: list[list], tables: list[list], seen: bool) -> None:
     tag = node.tag
-    if tag == "pre":
+    if tag in PRE:
         blocks[-1].flush(pre=True)
         pres.pop()
     elif tag in ("li", "dd", "blockquote"):
@@ -236,9 +264,9 @@ def _leave(node: Node, blocks: list[_Block], pres: list[bool], lists: list[list]
         mark = ""
         if tag == "li":
             kind = lists[-1] if lists else ["ul", 1]
-            mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
+            mark = "" if not seen and not inner.lines else f"{kind[1]}. " if kind[0] == "ol" else "- "
             kind[1] += 1
-        pad = " " * len(mark) if tag == "li" else "  "
+        pad = " " * len(mark) if mark else "  "
         blocks[-1].add([(mark if k == 0 and mark else pad if x else "") + x for k, x in enumerate(inner.lines or [""])] if inner.lines or mark else [])
     elif tag in ("td", "th", "caption"):
         pres.pop()
@@ -265,7 +293,9 @@ def _leave(node: Node, blocks: list[_Block], pres: list[bool], lists: list[list]
 
 
 def visible_text(html: str | None) -> str:
-    """The visible text of a page; of a null or empty page, the empty text. Broken markup never raises."""
+    """The visible text of a page as a browser with scripts on, but no style sheets, shows it; of a null or empty
+    page, the empty text. Form text counts: all options of a select, and what a textarea holds. Values of input
+    fields, alternatives for media and closed dialogs do not. Broken markup never raises."""
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
@@ -273,7 +303,10 @@ def visible_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Rows (page_id, text, n_chars, n_lines), one for each page, in one pass without a shuffle."""
+    """Rows (page_id, text, n_chars, n_lines), one for each page, in one pass without a shuffle.
+
+    Null ids and repeated rows come back as often as they occur; a null or empty page has the empty text, 0
+    characters and 0 lines; of an empty table there are no rows. Other columns are ignored."""
     session(pages.sparkSession)
     schema = "page_id long, text string, n_chars long, n_lines long"
 
