@@ -16,4 +16,6 @@ QUERIES = {
     "op9_warc": warc.op9,
     "op10_quality_classifier": quality.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": cells.ORACLE_SQL,
+}
