@@ -7,9 +7,11 @@ documents, the probability of the upper grades selects them.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,71 +38,104 @@ class Settings:
 _RUNS = re.compile(r"(.)\1+")
 
 
-def _shape(word: str) -> str:
-    """Letters by case, digits as 9, other characters as they are; runs once."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    return _RUNS.sub(r"\1", out)
+class _Signs(dict):
+    """For str.translate: letters by case, digits as 9, other characters as they are."""
 
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        out = self[code] = ord("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c)
+        return out
 
-class _Known(dict):
-    """What a function gives for words, remembered for short ones. Cleared when large, so its memory is bounded."""
 
-    def __init__(self, of: Callable[[str], object]):
-        self.of = of
+_SIGNS = _Signs()
 
-    def __missing__(self, word: str):
-        out = self.of(word)
-        if len(word) <= 40:
-            if len(self) > 300_000:
-                self.clear()
-            self[word] = out
-        return out
+
+def _shape(word: str) -> str:
+    """Letters by case, digits as 9, other characters as they are; runs once."""
+    return _RUNS.sub(r"\1", word.translate(_SIGNS))
 
 
 def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
-_SHAPES = _Known(_shape)
-_WORD_KEYS, _SHAPE_KEYS = _Known(lambda w: _hash(f"word {w.lower()}")), _Known(lambda s: _hash(f"shape {s}"))
-#: Shares from which a feature of its own is on, and what is added to a key for it; the first is on for any share.
-_LEVELS = np.array([0.0, *(2.0 ** (k - 13) for k in range(1, 13))])
-_LEVEL_KEYS = np.arange(len(_LEVELS), dtype=U64) * U64(0x9E3779B97F4A7C15)
+_known_hash = lru_cache(maxsize=50_000)(_hash)
+
+
+class _Words(dict):
+    """Numbers of words, under which arrays have each word's key, its shape's key and its length. All is forgotten
+    when it grows large, so memory is bounded."""
+
+    most, most_chars = 300_000, 8_000_000
+
+    def __init__(self) -> None:
+        self.keys_, self.shapes, self.lengths, self.chars = array("Q"), array("Q"), array("Q"), 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.keys_.append(_hash(f"word {word.lower()}"))
+        self.shapes.append(_known_hash(f"shape {_shape(word)}"))
+        self.lengths.append(len(word))
+        self.chars += len(word)
+        return n
+
+    def of(self, words: Collection[str]) -> list[np.ndarray]:
+        """Keys, keys of shapes and lengths of words."""
+        if len(self) > self.most or self.chars > self.most_chars:
+            self.clear()
+            self.__init__()
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return [np.frombuffer(x, dtype=U64)[at] if len(at) else np.zeros(0, dtype=U64) for x in (self.keys_, self.shapes, self.lengths)]
+
+
+_WORDS = _Words()
+#: What is added to a key for each level of its share; the lowest is on for any share.
+LEVELS = 12
+_LEVEL_KEYS = np.arange(LEVELS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
 
 
 def _steps(name: str, share: float) -> list[str]:
     """A share as cumulative tokens, one for each power of two that it reaches."""
-    return [f"{name}>={k}" for k in range(1, 13) if share >= 2.0 ** (k - 13)]
+    return [f"{name}>={k}" for k in range(1, LEVELS + 1) if share >= 2.0 ** (k - LEVELS - 1)]
 
 
-def tokens(text: str | None, words: list[str], counts: Counter) -> list[str]:
-    """What is hashed of a whole text besides its words and shapes: shares of repetition, and length."""
-    n = len(words)
+def tokens(text: str | None, n: int, counts: Counter, chars: int) -> list[str]:
+    """What is hashed of a whole text of n words besides its words and shapes: shares of repetition, and length."""
     out = [f"len>={k}" for k in range(20) if n >= 2**k]
     if not n:
         return [*out, "empty"]
     out += _steps("distinct", len(counts) / n) + _steps("commonest", max(counts.values()) / n)
     lines = Counter(x for x in text.split("\n") if x.strip())
     out += _steps("repeated lines", 1 - len(lines) / max(1, sum(lines.values())))
-    out += [f"word length>={k}" for k in range(1, 25) if sum(map(len, words)) / n >= k]
+    out += [f"word length>={k}" for k in range(1, 25) if chars / n >= k]
     return out
 
 
-def _shares(keys: _Known, counts: Counter, n: int) -> np.ndarray:
-    """Hashes of all that counts has, one for each level that its share of n reaches."""
-    h = np.fromiter(map(keys.__getitem__, counts), dtype=U64, count=len(counts))
-    share = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / n
-    return mix(h[:, None] + _LEVEL_KEYS)[share[:, None] >= _LEVELS]
+def _shares(keys: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all keys, one for each level that their share of n reaches: the lowest, and k from 1 to LEVELS
+    where the share is 2 ** (k - LEVELS - 1) or more."""
+    reached = np.clip(np.frexp(counts / n)[1] + LEVELS, 0, LEVELS) + 1
+    first = np.cumsum(reached) - reached
+    level = np.arange(int(reached.sum())) - np.repeat(first, reached)
+    return mix(np.repeat(keys, reached) + _LEVEL_KEYS[level])
 
 
 def hashed(text: str | None, bits: int) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text: all its words and shapes count, wherever they stand."""
     words = (text or "").split()
-    counts, shapes = Counter(words), Counter(map(_SHAPES.__getitem__, words))
-    h = np.array([_hash(t) for t in tokens(text, words, counts)], dtype=U64)
+    counts = Counter(words)
+    keys, shapes, length = _WORDS.of(counts)
+    times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    h = np.array([_known_hash(t) for t in tokens(text, len(words), counts, int(length.astype(np.int64) @ times))], dtype=U64)
     if words:
-        h = np.concatenate([h, _shares(_WORD_KEYS, counts, len(words)), _shares(_SHAPE_KEYS, shapes, len(words))])
-    return np.unique(h >> U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        distinct, at = np.unique(shapes, return_inverse=True)
+        h = np.concatenate([h, _shares(keys, times, len(words)), _shares(distinct, np.bincount(at, weights=times), len(words))])
+    h >>= U64(64 - bits)
+    if bits > 16:
+        return np.unique(h).astype(np.uint32)
+    on = np.zeros(1 << bits, dtype=bool)
+    on[h.astype(np.int64)] = True
+    return np.flatnonzero(on).astype(np.uint16)
 
 
 @dataclass(frozen=True)
@@ -167,7 +202,8 @@ def fit_weights(rows: Sequence[Sequence[int] | np.ndarray], y: np.ndarray, grade
 
 def fit(docs: DataFrame, grades: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
     """Fits on documents (doc_id, text) that grades (id, y) knows; grades are numbers, of any number of levels.
-    With no graded document at all there is one grade, 0."""
+    Rows with a null id or grade teach nothing; where ids repeat on either side, every pairing of a text with a
+    grade counts. With no graded document at all there is one grade, 0."""
     session(docs.sparkSession)
     rows = labelled_sample(docs, grades.select("id", F.col("y").cast("double").alias("y")), settings.sample)
     bits, schema = settings.bits, "y double, f binary"
@@ -184,7 +220,10 @@ def fit(docs: DataFrame, grades: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, m: Model, keep_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, expected_grade, tail_probability, kept): the mean of the grade's distribution, the
-    probability of the upper half of the grades, and whether that is at least keep_at. Null texts are empty."""
+    probability of the upper half of the grades, and whether that is at least keep_at.
+
+    Null and empty texts are scored as empty ones. Null ids and repeated rows come back as often as they occur,
+    other columns are ignored, and of an empty table there are no rows."""
     upper = np.arange(len(m.grades)) >= max(1, len(m.grades) // 2) if len(m.grades) > 1 else np.array([True])
     schema = "doc_id long, expected_grade double, tail_probability double, kept boolean"
 
