@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": cells.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }

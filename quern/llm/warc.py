@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -120,20 +121,28 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[Record]:
 
 
 def _page_of(urn: str) -> int | None:
+    """The page id of a record id that page_record() wrote; null for a null page id and for other writers' ids."""
     n = urn.strip("<>").removeprefix(RECORD)
-    return int(n) if n else None
+    return int(n) if re.fullmatch(r"-?\d{1,19}", n) else None
 
 
 def describe(r: Record) -> dict:
-    """What a page's record says; the payload of a response is checked against its digest and length."""
+    """What a page's record says, of any writer. The payload of a response is checked against its digest, where
+    that is a SHA-1, and against its HTTP length, where it has one and no transfer coding. Of a revisit, which has
+    no payload, the digest and length are those that its headers state; null where they state none."""
     http, _, payload = r.content.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:])
-    size, sha = int(fields["Content-Length"]), r.headers["warc-payload-digest"].removeprefix("sha1:")
-    if r.kind == "response" and (len(payload) != size or digest(payload) != sha):
-        raise ValueError(f"payload of {r.headers['warc-record-id']} does not match its digest")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
+    said, record_id = r.headers.get("warc-payload-digest", ""), r.headers.get("warc-record-id", "")
+    length = int(fields["content-length"]) if fields.get("content-length", "").isdigit() and "transfer-encoding" not in fields else None
+    sha = said[5:].upper() if said.lower().startswith("sha1:") else None
+    if r.kind == "response":
+        own = digest(payload)
+        if length not in (None, len(payload)) or sha not in (None, own):
+            raise ValueError(f"payload of {record_id} does not match its digest or length")
+        length, sha = len(payload), own
     return {
-        "page_id": _page_of(r.headers["warc-record-id"]), "payload_bytes": size, "payload_digest": sha, "record_type": r.kind,
-        "refers_to": _page_of(r.headers["warc-refers-to"]) if r.kind == "revisit" else None,
+        "page_id": _page_of(record_id), "payload_bytes": length, "payload_digest": sha, "record_type": r.kind,
+        "refers_to": _page_of(r.headers.get("warc-refers-to", "")) if r.kind == "revisit" else None,
     }
 
 
@@ -171,25 +180,74 @@ def archive(pages: DataFrame, least_bytes: int = 0, most_bytes: int = 8 << 20, i
     return rows.mapInPandas(run, "name string, content binary")
 
 
+SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _described(chunks: Iterable[bytes]) -> pd.DataFrame:
+    found = [describe(r) for r in read_records(chunks) if r.kind in ("response", "revisit")]
+    return pd.DataFrame(found, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+
+
 def read(archives: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """The page records of archives (content): page_id, payload_bytes, payload_digest, record_type, refers_to.
-    Files are read by spark.read.format("binaryFile")."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    """The page records of archives (content): page_id, payload_bytes, payload_digest, record_type, refers_to, a
+    row for each response and revisit. Other kinds of records are passed over; a null or empty content has no
+    records. An archive with broken framing, a cut-off one and one whose digests do not hold raise ValueError."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                chunks = (content[k : k + chunk] for k in range(0, len(content), chunk))
-                found = [describe(r) for r in read_records(chunks) if r.kind in ("response", "revisit")]
-                yield pd.DataFrame(found, columns=[x.split()[0] for x in schema.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                content = content or b""
+                yield _described(content[k : k + chunk] for k in range(0, len(content), chunk))
 
-    return archives.select("content").mapInPandas(run, schema)
+    return archives.select("content").mapInPandas(run, SCHEMA)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return read(session(spark).read.format("binaryFile").load(path))
+def read_files(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
+    """read() of the files at path. Files that workers can open (file: paths) are read piece by piece, of any
+    size; from other stores Spark's reader brings each file whole, up to 2 GB."""
+    files = session(spark).read.format("binaryFile").load(path)
+    if not files.where("path not like 'file:%'").select("path").isEmpty():
+        return read(files)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name in pdf["path"]:
+                with open(unquote(urlparse(name).path), "rb") as f:
+                    yield _described(iter(lambda: f.read(chunk), b""))  # noqa: B023
+
+    return files.select("path").mapInPandas(run, SCHEMA)
+
+
+def unresolved(records: DataFrame) -> DataFrame:
+    """Of records that read() gave, what revisits refer to (refers_to, payload_digest, payload_bytes) that is no
+    response's page id, digest and length. Equal references count once before anything is joined."""
+    keys = ["payload_digest", "payload_bytes"]
+    wanted = records.where("record_type = 'revisit'").select("refers_to", *keys).distinct()
+    given = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *keys).distinct()
+    return wanted.join(given, ["refers_to", *keys], "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives all pages, reads the archives back and returns what they hold."""
-    return read(cut(archive(table(spark, sf_dir, "pages"))))
+    """Archives all pages, reads the archives back and returns what they hold, once every revisit has been found
+    to refer to a response of equal digest and length."""
+    found = cut(read(cut(archive(table(spark, sf_dir, "pages")))))
+    if bad := unresolved(found).head(1):
+        raise ValueError(f"no response for {bad[0]}")
+    return found
+
+
+#: op9 in DuckDB. Base 32 of a SHA-1: four letters of 5 bits for each 5 hexadecimal digits.
+ORACLE_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), d AS (
+  SELECT page_id, strlen(html) AS payload_bytes,
+    array_to_string([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT, 1)
+      FOR k IN range(32)], '') AS payload_digest
+  FROM p
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""

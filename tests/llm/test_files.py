@@ -116,6 +116,33 @@ def test_broken_archives_raise():
         list(W.read_records([changed]))
 
 
+def test_records_of_other_writers(spark, tmp_path):
+    record_id = "<urn:uuid:12345678-1234-1234-1234-123456789abc>"
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 999\r\n\r\nbody"
+    data = W.encode_record([("WARC-Type", "request"), ("WARC-Record-ID", record_id)], b"GET / HTTP/1.1\r\n\r\n")
+    data += W.encode_record([("WARC-Type", "response"), ("WARC-Record-ID", record_id), ("WARC-Payload-Digest", "sha256:00")], http)
+    data += W.encode_record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id)], b"")
+    (tmp_path / "a b.warc.gz").write_bytes(data)
+    sha = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    want = [(None, 4, sha, "response", None), (None, None, None, "revisit", None)]
+    for got in (W.read_files(spark, str(tmp_path)), W.read(spark.createDataFrame([(bytearray(data),), (None,), (bytearray(),)], "content binary"))):
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    with pytest.raises(Exception, match="ends within"):
+        W.read(spark.createDataFrame([(bytearray(data[:-9]),)], "content binary")).collect()
+
+
+def test_unresolved_references(spark):
+    rows = [(1, 5, "A", "response", None), (2, 5, "A", "revisit", 1), (3, 5, "A", "revisit", 1), (4, 6, "A", "revisit", 1), (5, 5, "A", "revisit", 9)]
+    got = W.unresolved(spark.createDataFrame(rows, W.SCHEMA)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "A", 6), (9, "A", 5)]
+
+
+def test_records_against_sql(spark, duck):
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    want = sorted(duck.execute(f"select {', '.join(names)} from ({W.ORACLE_SQL})").fetchall(), key=str)
+    assert sorted((tuple(r[n] for n in names) for r in W.op9(spark, SF).collect()), key=str) == want
+
+
 def test_html_layout():
     page = """<!doctype html><title>t</title><body><h1>Head &amp; more</h1><p>one<p>two <b>b</b><br>line<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>
 <table><tr><th>name<th>v<tr><td>long name<td>1<tr><td colspan=2>both</table><script>no</script><div style="display:none">no</div><p hidden>no<pre> a
