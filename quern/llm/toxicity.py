@@ -98,10 +98,14 @@ def counterfactuals(text: str | None, terms: Sequence[Sequence[str]]) -> list[tu
 
 @dataclass(frozen=True)
 class Model:
+    """index: places of features. pairs: sentences with identity terms, each with its counterfactual, that the
+    weights were held still on; 0 means that the penalty had nothing to act on."""
+
     index: dict[int, int]
     weights: np.ndarray
     bias: float
     threshold: float
+    pairs: int = 0
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_weights(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Minimizes the mean weighted logistic loss + ridge / 2 |w|^2 + counterfactual * mean (w.(f - f'))^2 by Adam."""
+    """Minimizes the mean weighted logistic loss + ridge / (2 rows) |w|^2 + counterfactual * mean (w.(f - f'))^2 by Adam."""
     col, row = _csr(rows)
     pcol, prow = _csr([[*a, *b] for a, b in pairs])
     sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b in pairs] or [np.zeros(0)])
@@ -159,8 +163,10 @@ def fit_weights(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int
 
 
 def fit(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, settings: Settings = Settings()) -> Model:  # noqa: B008
-    """Fits on documents (doc_id, text) that labels (id, y) knows. Rows whose y is neither 0 nor 1 are left
-    out; a null text is an empty one. With one label only, the model gives that label's share to every text."""
+    """Fits on documents (doc_id, text) that labels (id, y) knows. Rows with a null id or with a y that is neither
+    0 nor 1 are left out; a null text is an empty one, and of a long text every word and sentence counts. Where
+    ids repeat on either side, every pairing of a text with a label is a row. With one label only, or none, the
+    model gives that label's share, or one half, to every text."""
     session(docs.sparkSession)
     rows = cut(labelled_sample(docs, labels.where("y in (0, 1)").select("id", F.col("y").cast("int").alias("y")), settings.sample))
     counts = cut(_counts(rows))
@@ -194,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = IDE
     own = [r for r in data if r["y"] is not None]
     pairs = [(r["a"], r["b"]) for r in data if r["y"] is None]
     w, bias = fit_weights([r["f"] for r in own], np.array([r["y"] for r in own]), pairs, len(index), settings)
-    return Model(index, w, bias, settings.threshold)
+    return Model(index, w, bias, settings.threshold, len(pairs))
 
 
 def _scorer(m: Model):
@@ -216,7 +222,9 @@ def _probability(logits: list[float]) -> np.ndarray:
 
 
 def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, score, predicted) for whole texts; null and empty texts get the score of no features."""
+    """Rows (doc_id, score, predicted) for whole texts; null and empty texts get the score of no features. Null
+    ids and repeated rows come back as often as they occur, other columns are ignored, and of an empty table there
+    are no rows."""
     session(docs.sparkSession)
     schema = "doc_id long, score double, predicted int"
 
@@ -230,7 +238,8 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
 
 
 def accepted(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score stays below the model's threshold."""
+    """The rows of docs, with all their columns, whose score stays below the model's threshold; each row is judged
+    by its own text, whatever its id."""
     session(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
