@@ -31,6 +31,10 @@ def session(spark: SparkSession) -> SparkSession:
     env = sc.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    # workers are reused from stage to stage, so what one of them holds on to adds up
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not sc.getCheckpointDir():
@@ -91,7 +95,7 @@ def bucket_of(doc_id: Column, n: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered. Cleared when large, so its memory is bounded."""
 
-    most = 400_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

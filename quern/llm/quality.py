@@ -66,7 +66,7 @@ class _Words(dict):
     """Numbers of words, under which arrays have each word's key, its shape's key and its length. All is forgotten
     when it grows large, so memory is bounded."""
 
-    most, most_chars = 300_000, 8_000_000
+    most, most_chars = 150_000, 4_000_000
 
     def __init__(self) -> None:
         self.keys_, self.shapes, self.lengths, self.chars = array("Q"), array("Q"), array("Q"), 0

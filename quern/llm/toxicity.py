@@ -63,7 +63,7 @@ def word_features(word: str) -> list[int]:
 class _Words(dict):
     """What each word maps to; cleared when large."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 100_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -74,7 +74,7 @@ class _Words(dict):
         return out
 
 
-_FEATURES = _Words(word_features)
+_FEATURES = _Words(word_features, 30_000)
 
 
 def features(text: str | None) -> set[int]:
