@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ast
 import math
+from collections import deque
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -204,42 +207,45 @@ def noam_schedule(step: Column, dim: int = 512, scale: float = 1.0, warmup: int
     return scale * dim**-0.5 * F.least(F.pow(s, F.lit(-0.5)), s * warmup**-1.5)
 
 
+def falling_probability(losses: np.ndarray) -> float:
+    """The probability that a least-squares line through equally spaced losses falls, its slope being normal
+    around the estimate with the estimate's variance. Fewer than three losses count as falling."""
+    n = len(losses)
+    if n < 3:
+        return 1.0
+    t = np.arange(n) - (n - 1) / 2
+    around = losses - losses.mean()
+    slope = (t @ around) / (t @ t)
+    rest = around - slope * t
+    spread = math.sqrt((rest @ rest) / (n - 2) / (t @ t))
+    return NormalDist(slope, spread).cdf(0.0) if spread > 0 else float(slope < 0)
+
+
 @dataclass
 class KingScheduler:
-    """Decays after `patience` steps during which the slope of the recent losses does not say "falling" with a
-    probability of a half; so too without the top tenth of them."""
+    """Decays the rate when the last `patience` steps say "falling" with a probability below `sure`, both for the
+    losses as they are and without the largest tenth of those kept. Enough of them are kept that patience + 1
+    remain without that tenth. After a decay the losses so far no longer count."""
 
     lr: float = 0.01
     patience: int = 1000
     decay: float = 0.99
-    losses: list[float] = field(default_factory=list)
-
-    @staticmethod
-    def p_falling(y: list[float]) -> float:
-        n = len(y)
-        if n < 3:
-            return 1.0
-        mx, my = (n - 1) / 2, sum(y) / n
-        sxx = sum((i - mx) ** 2 for i in range(n))
-        slope = sum((i - mx) * (v - my) for i, v in enumerate(y)) / sxx
-        var = sum((v - my - slope * (i - mx)) ** 2 for i, v in enumerate(y)) / max(n - 2, 1) / sxx
-        return float(slope < 0) if var == 0 else 0.5 * (1 + math.erf(-slope / math.sqrt(2 * var)))
-
-    def steps_without_decrease(self, robust: bool = False) -> int:
-        y, steps = self.losses, 0
-        if robust:
-            top = sorted(y)[int(len(y) * 0.9)] if y else 0.0
-            y = [v for v in y if v <= top]
-        for k in range(len(y) - 3, -1, -1):
-            if self.p_falling(y[k:]) < 0.51:
-                steps = len(y) - k
-        return steps
+    sure: float = 0.51
+    losses: deque[float] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.losses = deque(maxlen=math.ceil((self.patience + 1) / 0.9) + 1)
+
+    def stalled(self, losses: np.ndarray) -> bool:
+        recent = losses[-(self.patience + 1) :]
+        return len(recent) > self.patience and falling_probability(recent) < self.sure
 
     def __call__(self, loss: float) -> float:
-        self.losses = [*self.losses, loss][-(self.patience + 1) :]
-        if self.steps_without_decrease() > self.patience and self.steps_without_decrease(True) > self.patience:
+        self.losses.append(float(loss))
+        kept = np.array(self.losses)
+        if self.stalled(kept) and self.stalled(kept[kept <= np.quantile(kept, 0.9)]):
             self.lr *= self.decay
-            self.losses = []
+            self.losses.clear()
         return self.lr
 
 

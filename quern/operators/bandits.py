@@ -107,9 +107,12 @@ class Bandit:
         return float(rng.random() < self.evs(x)[arm])
 
 
-def path_arms(paths: DataFrame) -> Bandit:
-    """A bandit whose arms are paths (path, w) that pay minus their weight."""
-    w = [float(r["w"]) for r in paths.orderBy("w", "path").limit(10_000).collect()]
+def path_arms(paths: DataFrame, most: int = 10_000) -> Bandit:
+    """A bandit whose arms are paths (path, w) that pay minus their weight. Arms live in a simulation's memory, so
+    more than `most` are refused."""
+    w = [float(r["w"]) for r in paths.orderBy("w", "path").limit(most + 1).collect()]
+    if len(w) > most:
+        raise ValueError(f"more than {most} paths")
     return Bandit("multinomial", [[-v] for v in w], [[1.0]] * len(w))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,13 @@ class Graph:
         """The adjacency matrix in long form, without its zeros."""
         return self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
-    def all_paths(self, start: int, end: int, most: int = 30) -> DataFrame:
-        """All simple paths from start to end (path, w), by joins of the frontier; at most `most` edges long."""
+    def all_paths(self, start: int, end: int) -> DataFrame:
+        """All simple paths from start to end (path, w), by joins of the frontier. A simple path passes each vertex
+        once, so this ends; the number of paths may grow exponentially with the graph."""
         spark = self.vertices.sparkSession
         front = spark.createDataFrame([(start, [start], 0.0)], "at bigint, path array<bigint>, w double")
         found = []
-        for k in range(most):
+        while True:
             done = front.where(F.col("at") == end)
             found.append(done.select("path", "w"))
             open_ = front.where(F.col("at") != end)
@@ -55,12 +57,12 @@ class Graph:
             out = out.unionByName(f)
         return out
 
-    def reachable(self, start: int, most: int = 1_000) -> DataFrame:
+    def reachable(self, start: int) -> DataFrame:
         """Vertices that start reaches, by frontiers (id, hops); start itself with 0."""
         spark = self.vertices.sparkSession
         seen = spark.createDataFrame([(start, 0)], "id bigint, hops int")
         front = seen.select("id")
-        for hops in range(1, most):
+        for hops in count(1):
             front = self.edges.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").checkpoint()
             if front.isEmpty():
                 break

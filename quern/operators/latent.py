@@ -74,6 +74,19 @@ class GMM:
                 break
         return self
 
+    def predict_proba(self, df: DataFrame, id_col: str = "id") -> DataFrame:
+        """(id, component, p): the probability of each component."""
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    log = self.log_densities(np.stack(pdf["x"].to_list()).astype(float)) + np.log(self.pi)
+                    p = np.exp(log - log.max(axis=1, keepdims=True))
+                    p /= p.sum(axis=1, keepdims=True)
+                    yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), p.shape[1]), "component": np.tile(np.arange(p.shape[1]), len(p)), "p": p.ravel()})
+
+        return df.select(F.col(id_col).alias("id"), "x").mapInPandas(run, "id long, component int, p double")
+
     def predict(self, df: DataFrame, id_col: str = "id") -> DataFrame:
         """(id, component): the likeliest component, priors counted."""
 
@@ -271,10 +284,13 @@ class LDA:
                     total[1] += 1
                     total[2 : 2 + t] += e
                     np.add.at(total[2 + t :].reshape(t, v).T, w, (phi * n).T)
-            yield pd.DataFrame({"v": [total.tolist()]})
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"k": some, "v": total[some]})
 
-        parts = docs.select("words").mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-        return np.array([r["v"] for r in parts.orderBy("k").collect()])
+        parts = docs.select("words").mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # topics x vocabulary rows at most
+        out = np.zeros(2 + t + t * v)
+        out[parts["k"].to_numpy(dtype=np.int64)] = parts["v"]
+        return out
 
     def _newton(self, dg: np.ndarray, n_docs: float, rounds: int = 10) -> None:
         tri = lambda x: (digamma(x + 1e-4) - digamma(x - 1e-4)) / 2e-4
@@ -321,13 +337,16 @@ def gibbs(docs: DataFrame, n_topics: int, vocabulary: int, sweeps: int = 5, alph
         for r in flat.collect():  # vocabulary x topics at most
             c[r["words"], r["z"]] = r["count"]
 
-        def run(batches, c=c, sweep=sweep):
+        all_topics = c.sum(0)
+
+        def run(batches, c=c, all_topics=all_topics, sweep=sweep):
             for pdf in batches:
                 out = []
                 for doc, words, z in zip(pdf["doc"], pdf["words"], pdf["z"], strict=True):
                     rng = np.random.default_rng([seed, sweep, int(doc)])
-                    z, own, wt, nt = np.array(z), np.bincount(z, minlength=n_topics).astype(float), c.copy() if len(words) else c, c.sum(0)
-                    for i, w in enumerate(words):
+                    at, places = np.unique(np.asarray(words, dtype=int), return_inverse=True)
+                    z, own, wt, nt = np.array(z), np.bincount(z, minlength=n_topics).astype(float), c[at], all_topics.copy()
+                    for i, w in enumerate(places):
                         k = z[i]
                         own[k] -= 1
                         wt[w, k] -= 1

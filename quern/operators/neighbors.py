@@ -103,6 +103,26 @@ class GPRegression:
         self.a = np.linalg.solve(self.l.T, np.linalg.solve(self.l, self.y))
         return self
 
+    def covariance(self, queries: DataFrame) -> DataFrame:
+        """Rows (a, b, cov) of the posterior's covariance between queries (q, qx), each pair in either order. The
+        query side is gathered as the training rows are, and refused beyond as many."""
+        rows = queries.select("q", "qx").orderBy("q").limit(self.most + 1).collect()
+        if len(rows) > self.most:
+            raise ValueError(f"a covariance takes {self.most} queries at most")
+        if not rows:
+            return queries.sparkSession.createDataFrame([], "a long, b long, cov double")
+        x, ids = np.array([r["qx"] for r in rows], dtype=float), [r["q"] for r in rows]
+        v = np.linalg.solve(self.l, self.kernel(x, self.x).T)
+        cov = self.kernel(x, x) - v.T @ v
+        sides = queries.sparkSession.createDataFrame([(q, c.tolist()) for q, c in zip(ids, cov, strict=True)], "a long, row array<double>")
+        return sides.select("a", F.posexplode("row").alias("k", "cov")).select("a", F.element_at(F.array(*map(F.lit, ids)), F.col("k") + 1).alias("b"), "cov")
+
+    def evidence(self, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> float:
+        """The log marginal likelihood that the training rows would have under another kernel."""
+        l = np.linalg.cholesky(kernel(self.x, self.x) + self.alpha * np.eye(len(self.x)))
+        a = np.linalg.solve(l.T, np.linalg.solve(l, self.y))
+        return float(-0.5 * self.y @ a - np.log(np.diag(l)).sum() - len(self.y) / 2 * math.log(2 * math.pi))
+
     def predict(self, queries: DataFrame, conf: float = 0.95) -> DataFrame:
         """Rows (q, mean, half_width): the two-sided interval of the given confidence."""
         z = NormalDist().inv_cdf(0.5 + conf / 2)

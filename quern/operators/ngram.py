@@ -65,9 +65,19 @@ class NGram:
 
     def scored(self, grams: DataFrame) -> DataFrame:
         """Adds count and context_count (0 where unseen) to rows with a column gram."""
-        own = grams.join(self.counts, "gram", "left").withColumn("context", prefix(F.col("gram"))).join(self.contexts(), "context", "left")
+        own = grams.join(self.counts, "gram", "left").withColumn("context", prefix(F.col("gram")))
+        own = self._with_contexts(own)
         return own.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("count", "context_count")})
 
+    def _with_contexts(self, own: DataFrame, most: int = 1000) -> DataFrame:
+        """Contexts that hold over 1/most of what was counted are fewer than `most` and broadcast, so that none of
+        them sends its rows to one task; the others are joined by a shuffle."""
+        contexts = self.contexts().checkpoint()
+        least = max(1000, int(contexts.agg(F.sum("context_count")).first()[0] or 0) // most)
+        head = F.broadcast(contexts.where(F.col("context_count") >= least).limit(most))
+        hot = own.join(head, "context")
+        return hot.unionByName(own.join(head.select("context"), "context", "left_anti").join(contexts.where(F.col("context_count") < least), "context", "left"))
+
     def probabilities(self, grams: DataFrame) -> DataFrame:
         """Adds log_prob."""
         raise NotImplementedError
@@ -88,16 +98,22 @@ class NGram:
 
     def generate(self, n_sentences: int = 5, seed: int = 0, most: int = 100) -> list[list[str]]:
         """Sentences sampled word by word until the end mark or `most` words."""
-        out = []
-        for k in range(n_sentences):
-            words = [BOL] * max(1, self.n - 1)
-            while words[-1] != EOL and len(words) < most:
-                context = " ".join(words[len(words) - self.n + 1 :]) if self.n > 1 else ""
-                key = -F.log(F.rand(seed * 1000 + 100 * k + len(words))) / F.exp("log_prob")
-                row = self.completions(context).orderBy(key).first()
-                words.append(row["word"] if row else EOL)
-            out.append([w for w in words if w not in (BOL, EOL)])
-        return out
+        spark = self.counts.sparkSession
+        start = [BOL] * max(1, self.n - 1)
+        told = spark.createDataFrame([(k, start) for k in range(n_sentences)], "k int, words array<string>")
+        known = self.probabilities(self.counts.select("gram")).select(prefix(F.col("gram")).alias("context"), last(F.col("gram")).alias("word"), "log_prob").checkpoint()
+        # all sentences take a word at once; of its context's words each draws the one with the earliest clock
+        for at in range(len(start), most):
+            open_ = told.where(F.element_at("words", -1) != EOL)
+            if open_.isEmpty():
+                break
+            context = F.array_join(F.slice("words", F.size("words") - self.n + 2, self.n - 1), " ") if self.n > 1 else F.lit("")
+            drawn = open_.withColumn("context", context).join(known, "context", "left")
+            u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(at), "k", "word"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+            best = drawn.groupBy("k", "words").agg(F.min_by("word", -F.log(u) / F.exp("log_prob")).alias("word"))
+            grown = best.select("k", F.concat("words", F.array(F.coalesce("word", F.lit(EOL)))).alias("words"))
+            told = told.where(F.element_at("words", -1) == EOL).unionByName(grown).checkpoint()
+        return [[w for w in r["words"] if w not in (BOL, EOL)] for r in told.orderBy("k").collect()]
 
 
 class MLENGram(NGram):

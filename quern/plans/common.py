@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -13,16 +14,24 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers find this package, and sets a checkpoint folder of our own where neither the
-    cluster nor the session names one (right for a local session alone)."""
-    env = spark.sparkContext.environment
+    """Lets Python workers find this package, and sets a checkpoint folder: the one that the cluster names, or a
+    temporary one for a local session. Other sessions without one are refused: their executors would not share it."""
+    sc = spark.sparkContext
+    env = sc.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(spark))
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="quern-checkpoint-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -131,7 +131,7 @@ def _td(spark, sf):
 
 
 def _td_episodes(spark, sf):
-    return R.q_learning_episodes(transitions(spark, sf).where("t <= 15")).select("episode", "s", rounded("v").alias("v"))
+    return R.q_learning_episodes(transitions(spark, sf)).select("episode", "s", rounded("v").alias("v"))
 
 
 def _elite(spark, sf):
@@ -227,7 +227,7 @@ ORACLES = {
  row_number() over (partition by episode, s, a order by t) as k from tr) select s, a, round(avg(g), 9) as q, count(*)::bigint as n from g where k = 1 group by 1, 2""",
     "td_step": f"with {TR} select event_id, round(a / 10.0::double + 0.4 * (r + 0.99 * (case when s2 is null then 0 else 0.4 end) - a / 10.0::double), 6) + 0.0 as q from tr",
     "td_episodes": f"""with recursive {TR}, f(episode, t, m) as (select distinct episode, 0::bigint, map([]::varchar[], []::double[]) from tr union all
- select f.episode, tr.t, map_concat(f.m, map([tr.s], [coalesce(f.m[tr.s], 0) + 0.4 * (tr.r + 0.9 * coalesce(f.m[tr.s2], 0) - coalesce(f.m[tr.s], 0))])) from f join tr on tr.episode = f.episode and tr.t = f.t + 1 where tr.t <= 15),
+ select f.episode, tr.t, map_concat(f.m, map([tr.s], [coalesce(f.m[tr.s], 0) + 0.4 * (tr.r + 0.9 * coalesce(f.m[tr.s2], 0) - coalesce(f.m[tr.s], 0))])) from f join tr on tr.episode = f.episode and tr.t = f.t + 1),
  l as (select episode, arg_max(m, t) as m from f group by 1) select episode, e.k as s, round(e.v, 6) + 0.0 as v from (select episode, unnest([struct_pack(k := k, v := m[k]) for k in map_keys(m)]) as e from l)""",
     "cem_elite": """with o as (select p_size::double as size, p_retailprice as price from part order by p_partkey * 37 % 1009 desc, p_partkey limit 200)
  select round(avg(size), 4) as mean_size, round(var_pop(size), 4) as var_size, round(avg(price), 4) as mean_price, round(var_pop(price), 4) as var_price from o""",

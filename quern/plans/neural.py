@@ -74,7 +74,7 @@ def _king_slope(spark, sf):
 
 def _gradients(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    return e.select("user_id", F.slice(F.transform("e", lambda v: v["value"] / 50 - 1), 1, 20).alias("g"))
+    return e.select("user_id", F.transform("e", lambda v: v["value"] / 50 - 1).alias("g"))
 
 
 def _optimizer(make):
@@ -121,9 +121,10 @@ def _flatten(spark, sf):
 
 
 def _embedding(spark, sf):
-    """Rows of a table looked up by id and pooled per user: labels of embeddings by event type."""
-    ids = table(spark, sf, "events").select("user_id", (F.col("event_id") % 500).alias("id"))
-    rows = ids.join(_vectors(spark, sf), "id").select("user_id", F.posexplode("x").alias("k", "v"))
+    """Rows of a table, all of them in turn, looked up by id and pooled per user."""
+    vectors = _vectors(spark, sf)
+    ids = table(spark, sf, "events").select("user_id", (F.col("event_id") % F.lit(vectors.count())).alias("id"))
+    rows = ids.join(vectors, "id").select("user_id", F.posexplode("x").alias("k", "v"))
     return rows.groupBy("user_id", "k").agg(rounded(F.sum("v"), 5).alias("total"), rounded(F.avg("v"), 5).alias("mean"))
 
 
@@ -139,7 +140,7 @@ def _attention(spark, sf):
 
 
 def _images(spark, sf):
-    e = table(spark, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("ex"), F.posexplode(X.doubles(F.col("embedding"))).alias("p", "v"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ex"), F.posexplode(X.doubles(F.col("embedding"))).alias("p", "v"))
     return e.select("ex", F.floor(F.col("p") / 8).cast("int").alias("row"), (F.col("p") % 8).cast("int").alias("col"), F.lit(0).alias("ch"), "v")
 
 
@@ -164,7 +165,7 @@ def _deconv(spark, sf):
 
 def _conv1d(spark, sf):
     """A causal convolution of the vectors, as images of one row."""
-    line = _vectors(spark, sf).where("label = 3").select(F.col("id").alias("ex"), F.lit(0).alias("row"), F.posexplode("x").alias("col", "v")).withColumn("ch", F.lit(0)).select("ex", "row", "col", "ch", "v")
+    line = _vectors(spark, sf).select(F.col("id").alias("ex"), F.lit(0).alias("row"), F.posexplode("x").alias("col", "v")).withColumn("ch", F.lit(0)).select("ex", "row", "col", "ch", "v")
     shifted = line.withColumn("col", F.col("col") + 4)
     kernel = spark.createDataFrame([(0, k, 0, 0, float(k - 1)) for k in range(3)], "fr int, fc int, in_ch int, out_ch int, w double")
     out = TN.conv2d(shifted, kernel, (1, 68), (1, 3), 1, 0, 1)
@@ -242,8 +243,8 @@ def _act_sql(name: str) -> str:
 E_SQL = "e as (select vec_id as id, embedding::double[] as x, label from embeddings)"
 P_SQL = f"{E_SQL}, p as (select *, [exp(v) / list_sum([exp(u) for u in x]) for v in x] as p from e)"
 K64, K8 = "(select unnest(range(0, 64)) as k)", "(select unnest(range(0, 8)) as {})"
-G_SQL = """o as (select user_id, value / 50 - 1 as g, row_number() over (partition by user_id order by ts, event_id) - 1 as t from events), g as (select user_id, g, t from o where t < 20)"""
-IMG = "im as (select vec_id as ex, p // 8 as r, p % 8 as c, embedding[p+1]::double as v from embeddings, (select unnest(range(0, 64)) as p) where label = 3)"
+G_SQL = """g as (select user_id, value / 50 - 1 as g, row_number() over (partition by user_id order by ts, event_id) - 1 as t from events)"""
+IMG = "im as (select vec_id as ex, p // 8 as r, p % 8 as c, embedding[p+1]::double as v from embeddings, (select unnest(range(0, 64)) as p))"
 KER = "ker(fr, fc, o, w) as (values " + ", ".join(f"({r}, {c}, {o}, {v}::double)" for r, c, o, v in KERNEL) + ")"
 
 
@@ -315,7 +316,7 @@ ORACLES = {
     "batch_norm": f"with {E_SQL}, l as (select id, k, x[k+1] as v from e, {K64}), s as (select k, avg(v) as m, var_pop(v) as s from l group by 1) select id, k::int as k, round((v - m) / sqrt(s + 1e-5), 5) + 0.0 as v from l join s using (k)",
     "layer_add_multiply": f"with {E_SQL} select id, k::int as k, round(greatest(x[k+1] + x[k+33], 0), 6) + 0.0 as added, round(tanh(x[k+1] * x[k+33]), 6) + 0.0 as multiplied from e, (select unnest(range(0, 32)) as k)",
     "layer_flatten": f"with {E_SQL} select id, 64 as n, true as same from e",
-    "layer_embedding": f"""with {E_SQL} select user_id, k::int as k, round(sum(x[k+1]), 5) + 0.0 as total, round(avg(x[k+1]), 5) + 0.0 as mean from events join e on e.id = event_id % 500, {K64} group by 1, 2""",
+    "layer_embedding": f"""with {E_SQL} select user_id, k::int as k, round(sum(x[k+1]), 5) + 0.0 as total, round(avg(x[k+1]), 5) + 0.0 as mean from events join e on e.id = event_id % (select count(*) from embeddings), {K64} group by 1, 2""",
     "layer_attention": f"""with {E_SQL}, s as (select q.id as q, e.x, exp(list_sum([e.x[i] * q.x[i] for i in range(1, 65)]) / 8) as w from e join e q on e.label = q.label where q.id % 50 = 0)
  select q, k::int as k, round(sum(w * x[k+1]) / sum(w), 5) + 0.0 as v from s, {K64} group by 1, 2""",
     "layer_rnn": f"""with recursive {G_SQL}, f(user_id, t, a, b) as (select distinct user_id, -1::bigint, 0.0::double, 0.0::double from g union all
@@ -324,12 +325,12 @@ ORACLES = {
     "conv2d": _conv_sql(1, 0, 0),
     "conv2d_stride_pad": _conv_sql(2, 1, 0),
     "conv2d_dilated": _conv_sql(1, 2, 1),
-    "conv1d_causal": """with e as (select vec_id as ex, embedding::double[] as x from embeddings where label = 3) select ex, k::int as col,
+    "conv1d_causal": """with e as (select vec_id as ex, embedding::double[] as x from embeddings) select ex, k::int as col,
  round(coalesce(x[k+1], 0) - coalesce(case when k >= 4 then x[k-3] end, 0), 5) + 0.0 as v from e, (select unnest(range(0, 64)) as k)""",
     "deconv2d": f"with {IMG}, {KER} select ex, (r * 2 + fr)::int as row, (c * 2 + fc)::int as col, o::int as ch, round(sum(v * w), 5) + 0.0 as v from im, ker group by 1, 2, 3, 4",
     **{f"pool2d_{k}": f"with {IMG} select ex, (r // 2)::int as row, (c // 2)::int as col, 0 as ch, round({f}(v), 5) + 0.0 as v from im group by 1, 2, 3" for k, f in (("max", "max"), ("average", "avg"))},
     "pad1d": f"with {E_SQL} select id, 69 as n, round(list_sum(x), 5) + 0.0 as total from e",
-    "pad2d": f"with {IMG}, g as (select distinct ex, i, j from im, (select unnest(range(0, 10)) as i), (select unnest(range(0, 12)) as j)) select g.ex, i::int as row, j::int as col, round(coalesce(v, 0), 5) + 0.0 as v from g left join im on im.ex = g.ex and r = i - 1 and c = j - 2",
-    "dilate": f"with {IMG}, g as (select distinct ex, i, j from im, (select unnest(range(0, 15)) as i), (select unnest(range(0, 15)) as j)) select g.ex, i::int as row, j::int as col, round(coalesce(v, 0), 5) + 0.0 as v from g left join im on im.ex = g.ex and r * 2 = i and c * 2 = j",
+    "pad2d": f"with {IMG}, g as (select ex, i, j from (select distinct vec_id as ex from embeddings), (select unnest(range(0, 10)) as i), (select unnest(range(0, 12)) as j)) select g.ex, i::int as row, j::int as col, round(coalesce(v, 0), 5) + 0.0 as v from g left join im on im.ex = g.ex and r = i - 1 and c = j - 2",
+    "dilate": f"with {IMG}, g as (select ex, i, j from (select distinct vec_id as ex from embeddings), (select unnest(range(0, 15)) as i), (select unnest(range(0, 15)) as j)) select g.ex, i::int as row, j::int as col, round(coalesce(v, 0), 5) + 0.0 as v from g left join im on im.ex = g.ex and r * 2 = i and c * 2 = j",
     "im2col_col2im": f"with {IMG} select ex, r::int as row, c::int as col, round(v * least(r + 1, 3, 8 - r) * least(c + 1, 3, 8 - c), 5) + 0.0 as v from im",
 }

@@ -19,7 +19,7 @@ def _counts(n):
 
 def _mle(spark, sf):
     model = N.MLENGram.train(_lines(spark, sf), 2)
-    return model.probabilities(model.counts.where("count > 1").select("gram")).select("gram", rounded("log_prob").alias("log_prob"))
+    return model.probabilities(model.counts.select("gram")).select("gram", rounded("log_prob").alias("log_prob"))
 
 
 def _mle_trigram_start(spark, sf):
@@ -110,7 +110,7 @@ QUERIES = {
 ORACLES = {
     **{f"ngram_counts_{n}": f"with {counts_sql(n)} select gram, count from g" for n in (1, 2, 3)},
     "ngram_mle": f"""with {counts_sql(2)}, c as (select {PREFIX.format('gram')} as context, sum(count) as cc from g group by 1)
- select gram, round(ln(count::double / cc), 6) as log_prob from g join c on c.context = {PREFIX.format('gram')} where count > 1""",
+ select gram, round(ln(count::double / cc), 6) as log_prob from g join c on c.context = {PREFIX.format('gram')}""",
     "ngram_mle_line_start": f"""with {counts_sql(3)}, c as (select gram, count from g where {PREFIX.format('gram')} = '<bol> <bol>')
  select {LAST.format('gram')} as word, round(ln(count::double / (select sum(count) from c)), 6) as log_prob from c""",
     "ngram_additive_log_prob": _additive_sql(2, 1.0),

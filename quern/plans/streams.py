@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quern.operators.vocabulary import lines
-from quern.plans.common import rounded, table
+from quern.plans.common import rounded, shared_folder, table
 from quern.sources import generators as G
 from quern.sources import text as T
 from quern.streaming import online as O
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir() or shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _regression(spark, sf):

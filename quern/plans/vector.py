@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.functions import vector as X
 from quern.operators import neighbors as K
+from quern.operators import structures as S
 from quern.plans.common import rounded, table
 
 
@@ -44,15 +46,52 @@ def _nearest(spark, sf):
     return K.nearest(_queries(spark, sf), _train(spark, sf), 5).select("q", "id", rounded("dist", 5).alias("dist"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def _ball_tree(spark, sf):
+    tree = S.BallTree(leaf_size=32).fit(_train(spark, sf))
+    return tree.nearest(_queries(spark, sf), 5).select("q", "id", rounded("dist", 5).alias("dist"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _gp_covariance(spark, sf):
+    """Posterior covariances of the query set, whose diagonal is the variance that predict() rests on."""
+    gp = K.GPRegression(alpha=0.1)
+    gp.fit(_rows(spark, sf).orderBy(F.xxhash64("id"), "id").limit(gp.most).select("x", "y"))
+    return gp.covariance(_queries(spark, sf)).select("a", "b", rounded("cov", 9).alias("cov"))
+
+
+def _gp_evidence(spark, sf):
+    """Log marginal likelihoods of all rows under kernels of three widths."""
+    gp = K.GPRegression(alpha=0.1)
+    gp.fit(_rows(spark, sf).orderBy(F.xxhash64("id"), "id").limit(gp.most).select("x", "y"))
+    wide = lambda s: lambda x, y: np.exp(-((x[:, None] - y[None]) ** 2).sum(-1) / (s * x.shape[1]))
+    return spark.createDataFrame([(s, gp.evidence(wide(s))) for s in (0.5, 1.0, 2.0)], "width double, log_likelihood double")
+
+
+def _queue(spark, sf):
+    return S.PriorityQueue(table(spark, sf, "orders").select(F.col("o_orderkey").alias("entry"), F.col("o_totalprice").alias("priority")))
+
+
+def _queue_peek(spark, sf):
+    return _queue(spark, sf).peek(50).select("entry", "priority", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _queue_pop(spark, sf):
+    """What is first after 50 entries were taken and the customers' balances pushed."""
+    out, left = _queue(spark, sf).pop(50)
+    more = table(spark, sf, "customer").select((-F.col("c_custkey")).alias("entry"), (F.col("c_acctbal") * 50).alias("priority"))
+    return left.push(more).peek(50).select("entry", rounded("priority", 4).alias("priority"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def _kernel_regression(spark, sf):
     out = K.KernelRegression(X.rbf_kernel(0.5)).fit(_train(spark, sf)).predict(_queries(spark, sf))
     return out.select("q", rounded("prediction", 5).alias("prediction"))
 
 
 def _gp(spark, sf):
-    """Interpolates labels from the rows of the query set, a stated set of training points."""
-    train = _rows(spark, sf).where("id % 50 = 0").select("x", "y")
-    return K.GPRegression(alpha=0.1).fit(train).predict(_rows(spark, sf).select(F.col("id").alias("q"), F.col("x").alias("qx")))
+    """Interpolates labels of all rows. The operator's kernel matrix takes `most` training rows; where the table
+    has more, those are the first by a hash of their ids."""
+    gp = K.GPRegression(alpha=0.1)
+    train = _rows(spark, sf).orderBy(F.xxhash64("id"), "id").limit(gp.most).select("x", "y")
+    return gp.fit(train).predict(_rows(spark, sf).select(F.col("id").alias("q"), F.col("x").alias("qx")))
 
 
 def _logsumexp(spark, sf):
@@ -94,6 +133,11 @@ QUERIES = {
     "knn_regress_distance": _knn(False, "distance"),
     "kernel_regression": _kernel_regression,
     "gp_regression": _gp,
+    "gp_covariance": _gp_covariance,
+    "gp_evidence": _gp_evidence,
+    "ball_tree_nearest": _ball_tree,
+    "priority_queue_peek": _queue_peek,
+    "priority_queue_pop": _queue_pop,
     "logsumexp": _logsumexp,
     "log_gaussian_pdf": _density,
 }
@@ -108,6 +152,11 @@ ORACLES = {
     **{f"distance_{k}" if not k.startswith("kernel") else k: _pair_sql(m) for k, m in MEASURES.items()},
     "pairwise_l2": _pair_sql("sqrt(greatest(list_sum([x[i] * x[i] for i in range(1, 65)]) + list_sum([qx[i] * qx[i] for i in range(1, 65)]) - 2 * list_sum([x[i] * qx[i] for i in range(1, 65)]), 0))"),
     "nearest_neighbors": f"{_NEAR} select q, id, round(dist, 5) as dist, rank::bigint as rank from n where rank <= 5",
+    "ball_tree_nearest": f"{_NEAR} select q, id, round(dist, 5) as dist, rank::bigint as rank from n where rank <= 5",
+    "priority_queue_peek": """select entry, priority, rank::bigint as rank from (select o_orderkey as entry, o_totalprice as priority, row_number() over (order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 50""",
+    "priority_queue_pop": """with o as (select o_orderkey as entry, o_totalprice as priority, row_number() over (order by o_totalprice desc, o_orderkey) as k from orders),
+ p as (select entry, priority from o where k > 50 union all select -c_custkey, c_acctbal * 50 from customer), r as (select *, row_number() over (order by priority desc, entry) as rank from p)
+ select entry, round(priority, 4) + 0.0 as priority, rank::bigint as rank from r where rank <= 50""",
     "knn_classify": f"{_NEAR}, v as (select q, y, count(*) as w from n where rank <= 7 group by 1, 2) select q, arg_max(y, w * 1000 - y) as prediction from v group by 1",
     "knn_classify_distance": f"{_NEAR}, v as (select q, y, sum(1 / dist) as w from n where rank <= 7 group by 1, 2) select q, y as prediction from (select *, row_number() over (partition by q order by w desc, y) as r from v) where r = 1",
     "knn_regress": f"{_NEAR} select q, round(avg(y), 5) as prediction from n where rank <= 7 group by 1",

@@ -77,4 +77,27 @@ def test_king_scheduler_waits():
     k = N.KingScheduler(lr=1.0, patience=4, decay=0.5)
     assert all(k(1.0 / (i + 1)) == 1.0 for i in range(10))
     assert min(k(1.0 + 0.1 * i) for i in range(20)) < 1.0
-    assert math.isclose(N.KingScheduler.p_falling([3, 2, 1, 0.0]), 1.0)
+    assert math.isclose(N.falling_probability(np.array([3, 2, 1, 0.0])), 1.0)
+
+
+@pytest.mark.parametrize("patience", [4, 10, 50, 1000])
+def test_king_scheduler_decays_on_a_plateau_alone(patience):
+    rising, falling = N.KingScheduler(1.0, patience), N.KingScheduler(1.0, patience)
+    for k in range(2 * patience + 10):
+        rising(1.0 + 0.01 * k)
+        falling(1.0 / (1 + k))
+    assert rising.lr < 1.0 and falling.lr == 1.0
+    spiky = N.KingScheduler(1.0, patience)
+    for k in range(2 * patience + 10):  # transient spikes among falling losses
+        spiky(10.0 - 4.0 * k / patience + (50.0 if k % 25 == 24 else 0.0))
+    assert spiky.lr == 1.0
+
+
+def test_probability_of_a_falling_line_against_least_squares():
+    rng = np.random.default_rng(0)
+    for n in (3, 10, 200):
+        y = rng.normal(size=n) - 0.01 * np.arange(n)
+        x = np.c_[np.ones(n), np.arange(n)]
+        beta, rest, *_ = np.linalg.lstsq(x, y, rcond=None)
+        sd = math.sqrt(rest[0] / (n - 2) * np.linalg.inv(x.T @ x)[1, 1])
+        assert N.falling_probability(y) == pytest.approx(0.5 * (1 + math.erf(-beta[1] / sd / math.sqrt(2))))

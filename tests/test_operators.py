@@ -9,8 +9,10 @@ from quern.operators import latent as L
 from quern.operators import linear as LM
 from quern.operators import networks as N
 from quern.operators import neighbors as K
+from quern.operators import structures as S
 from quern.operators import trees as T
 from quern.operators import vocabulary as V
+from quern.operators.joins import join_counted
 
 
 def test_huffman_codes_are_prefix_free_and_short():
@@ -153,3 +155,42 @@ def test_baum_welch_reads_whole_sequences(spark):
             want, f = want + np.log(f.sum()), f / f.sum()
     got = {r["round"]: r["log_likelihood"] for r in latent.QUERIES["hmm_baum_welch"](spark, SF).collect()}
     assert abs(got[0] - want) < 1e-9 * abs(want)
+
+
+def test_ball_tree_finds_what_all_pairs_find(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=3) + 5 * (i % 4)).tolist(), 0.0) for i in range(400)] + [(400 + i, [1.0, 1.0, 1.0], 0.0) for i in range(20)] + [(500, None, 0.0)]
+    train = spark.createDataFrame(rows, "id long, x array<double>, y double")
+    queries = spark.createDataFrame([(i, (rng.normal(size=3) * 8).tolist()) for i in range(15)] + [(99, [1.0, 1.0, 1.0]), (100, None)], "q long, qx array<double>")
+    for args, k in (({"leaf_size": 16}, 7), ({"leaf_size": 10_000}, 3), ({"leaf_size": 1, "most_leaves": 64}, 500)):
+        got = S.BallTree(**args).fit(train).nearest(queries, k)
+        want = K.nearest(queries.where("qx is not null"), train.where("x is not null"), k)
+        rounded = lambda d: sorted((r["q"], r["rank"], r["id"], round(r["dist"], 9)) for r in d.collect())
+        assert rounded(got) == rounded(want)
+    assert S.BallTree().fit(train.limit(0)).nearest(queries, 2).count() == 0
+
+
+def test_priority_queue(spark):
+    q = S.PriorityQueue(spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 9.0), (3, 9.0), (4, None)], "entry long, priority double"))
+    out, rest = q.pop(1)
+    assert [(r["entry"], r["rank"]) for r in out.collect()] == [(3, 1)]
+    assert [r["entry"] for r in rest.peek(9).orderBy("rank").collect()] == [3, 1, 2]
+    small = S.PriorityQueue(q.entries.limit(0), False, 2).push(q.entries.where("priority is not null"))
+    assert [r["entry"] for r in small.peek(9).orderBy("rank").collect()] == [1, 2]
+    assert q.peek(0).count() == 0
+
+
+def test_gp_covariance_and_evidence(spark):
+    train = spark.createDataFrame([([float(i)], float(i * i)) for i in range(5)], "x array<double>, y double")
+    m = K.GPRegression(alpha=0.01).fit(train)
+    q = spark.createDataFrame([(1, [0.5]), (2, [7.0])], "q long, qx array<double>")
+    cov = {(r["a"], r["b"]): r["cov"] for r in m.covariance(q).collect()}
+    width = {r["q"]: r["half_width"] for r in m.predict(q).collect()}
+    assert cov[1, 2] == pytest.approx(cov[2, 1]) and all(width[k] == pytest.approx(1.959964 * cov[k, k] ** 0.5, rel=1e-5) for k in (1, 2))
+    assert m.evidence(m.kernel) == pytest.approx(m.marginal_log_likelihood())
+
+
+def test_joins_with_counted_keys(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(5000)] + [("b", 1), ("c", 2), (None, 3)], "key string, x long")
+    counted = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, join_counted(rows, counted, "key", "n").collect())) == sorted(map(tuple, rows.join(counted, "key").collect()))
