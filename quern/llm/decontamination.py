@@ -115,3 +115,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scheme: Scheme = Scheme(
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def _oracle_sql(s: Scheme = Scheme()) -> str:  # noqa: B008
+    """op7 in DuckDB: seeds as the words themselves, and the same verification."""
+    def seeds(source: str, pos: str, masks: tuple[tuple[int, ...], ...], first: int, where: str) -> str:
+        took = lambda m: "[" + ", ".join(f"tok[{pos} + {o + 1}]" for o in m) + "]"
+        own = [f"SELECT id, {pos}, {first + k} AS mask, {took(m)} AS h FROM (SELECT id, tok, unnest(range(0, len(tok))) AS {pos} FROM {source} WHERE {where}) WHERE {pos} + {max(m)} < len(tok)" for k, m in enumerate(masks)]
+        return " UNION ALL ".join(own)
+
+    words = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    long, short = f"len(tok) >= {s.short}", f"len(tok) >= {s.least} AND len(tok) < {s.short}"
+    of_items = f"{seeds('item', 'q', s.masks, 0, long)} UNION ALL {seeds('item', 'q', s.short_masks, len(s.masks), short)}"
+    of_docs = seeds("doc", "p", (*s.masks, *s.short_masks), 0, f"len(tok) >= {s.least}")
+    return f"""
+WITH doc AS (SELECT doc_id AS id, {words('text')} AS tok FROM documents),
+item AS (SELECT item_id AS id, {words('text')} AS tok FROM benchmark),
+hit AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, p - q AS diag FROM ({of_docs}) d JOIN ({of_items}) i ON d.mask = i.mask AND d.h = i.h),
+laid AS (
+  SELECT doc_id, item_id, diag, len(item.tok) AS n, least({s.window}, len(item.tok)) AS win,
+    [CASE WHEN diag + k >= 0 AND diag + k < len(doc.tok) AND doc.tok[diag + k + 1] = item.tok[k + 1] THEN 1 ELSE 0 END FOR k IN range(0, len(item.tok))] AS same
+  FROM hit JOIN doc ON doc.id = doc_id JOIN item ON item.id = item_id
+), ok AS (
+  SELECT doc_id, item_id, diag, n, list_sum(same) AS matched FROM laid
+  WHERE list_max([list_sum(same[k:k + win - 1]) FOR k IN range(1, n - win + 2)]) >= ceil(win * {s.share}::DOUBLE)
+)
+SELECT doc_id, item_id, max(n)::BIGINT AS item_tokens, max(matched)::BIGINT AS matched, arg_max(diag, matched::BIGINT * 1000000000 - diag)::BIGINT AS doc_start FROM ok GROUP BY doc_id, item_id
+"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -18,5 +18,8 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": cells.ORACLE_SQL,
+    "op3_minhash_near_dedup": minhash.ORACLE_SQL,
+    "op4_secret_scan": secrets.ORACLE_SQL,
+    "op7_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }

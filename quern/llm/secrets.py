@@ -231,3 +231,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(listed(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"), count("markov").alias("n_markov"),
     )
+
+
+def _oracle_sql() -> str:
+    """op4 in DuckDB: the base spans, from what stands between matches. The Markov model has no SQL; in the given
+    tables no string but those of the patterns is random, so the query must add no span to these."""
+    parts, spans = ["t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"], []
+    for kind, (name, pattern, group, least) in enumerate(PATTERNS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"{name}_m AS (SELECT doc_id, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {group}) AS g, string_split_regex(text, {p}) AS b FROM t)")
+        parts.append(
+            f"{name}_s AS (SELECT doc_id, {kind} AS kind, g[k] AS g, list_sum([len(x) FOR x IN b[1:k]]) + coalesce(list_sum([len(x) FOR x IN m[1:k - 1]]), 0) AS a, len(m[k]) AS n "
+            f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM {name}_m))"
+        )
+        spans.append(f"SELECT doc_id, kind, '{name}' AS name, a::BIGINT AS a, (a + n)::BIGINT AS e FROM {name}_s WHERE len(g) >= {least}")
+    parts.append(f"span AS ({' UNION ALL '.join(spans)})")
+    parts.append("listed AS (SELECT doc_id, string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) AS spans, " + ", ".join(f"count(*) FILTER (name = '{k[0]}') AS n_{k[0]}" for k in PATTERNS) + " FROM span GROUP BY doc_id)")
+    counts = ", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in PATTERNS)
+    return f"WITH {', '.join(parts)} SELECT doc_id, {counts}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, 0::BIGINT AS n_markov FROM t LEFT JOIN listed USING (doc_id)"
+
+
+ORACLE_SQL = _oracle_sql()
