@@ -17,6 +17,7 @@ import atexit
 import os
 import shutil
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import U64, bucket_of, cut, mix, release, session, shared_dir, table, word_hashes
+from quern.llm.common import U64, bucket_of, cut, mix, release, session, shared_dir, table, words
 
 #: Hash of the end of a text, which is a token. No word has white space.
 END = U64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -117,16 +118,19 @@ def _parted(keys: np.ndarray) -> dict[str, np.ndarray]:
 def _find(a: dict[str, np.ndarray], want: np.ndarray) -> np.ndarray:
     """Places of keys in _parted arrays, -1 where they are not, by bisection among the keys with equal upper bits."""
     at, high, low = a["at"], a["high"], a["low"]
-    top, h, l = (want >> U64(48)).astype(np.int64), (want >> U64(32)).astype(np.uint16), want.astype(np.uint32)
-    lo, end = at[top].astype(np.int64), at[top + 1].astype(np.int64)
-    hi = end.copy()
-    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
-        mid = np.minimum((lo + hi) >> 1, len(high) - 1)
-        x = high[mid]
-        less = ((x < h) | ((x == h) & (low[mid] < l))) & (lo < hi)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(mid, hi))
-    k = np.minimum(lo, len(high) - 1)
-    return np.where((lo < end) & (high[k] == h) & (low[k] == l), lo, -1) if len(high) else np.full(len(want), -1)
+    if not len(high):
+        return np.full(len(want), -1)
+    top, rest = (want >> U64(48)).astype(np.int64), want & U64((1 << 48) - 1)
+    first, end = at[top].astype(np.int64), at[top + 1].astype(np.int64)
+    of = lambda k: high[k].astype(U64) << U64(32) | low[k]
+    before = first - 1  # the last place known to hold less
+    for bit in reversed(range(int((end - first).max(initial=0)).bit_length())):
+        k = before + (1 << bit)
+        less = k < end
+        less &= of(np.minimum(k, len(high) - 1)) < rest
+        before += less.astype(np.int64) << bit
+    k = before + 1
+    return np.where((k < end) & (of(np.minimum(k, len(high) - 1)) == rest), k, -1)
 
 
 PIECES = "kind int, shard long, n long, data binary"
@@ -168,15 +172,40 @@ def _joined(pdf: pd.DataFrame, width: int, per: int = 1) -> tuple[list[np.ndarra
 
 
 def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct rows and the sums of their counts (of ones, if there are none)."""
+    """Sorted distinct rows and the sums of their counts (of ones, if there are none). Columns are taken in one by
+    one: the rank of what stands left of a column, and the column, make one 64-bit number that sorts as the rows do."""
     if not len(columns[0]):
         return columns, np.zeros(0, np.int64) if counts is None else counts
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-    at = np.flatnonzero(new)
-    total = np.diff([*at, len(order)]) if counts is None else np.add.reduceat(counts[order], at, axis=0)
-    return [c[at] for c in columns], total
+    code, ranked = columns[0].astype(U64), []
+    for k, c in enumerate(columns[1:]):
+        if k:
+            known, code = np.unique(code, return_inverse=True)
+            ranked.append(known)
+            code = code.astype(U64)
+        code = code << U64(32) | c
+    if counts is None:
+        code, total = np.unique(code, return_counts=True)
+    else:
+        code, _, back = _groups(code)
+        total = np.stack([np.bincount(back, weights=x, minlength=len(code)) for x in (counts.T if counts.ndim > 1 else counts[None])], axis=-1).astype(np.int64)
+        total = total if counts.ndim > 1 else total[:, 0]
+    out = []
+    for _ in columns[1:]:
+        out.append(code.astype(np.uint32))
+        code = code >> U64(32)
+        if len(out) < len(columns) - 1:
+            code = ranked.pop()[code.astype(np.int64)]
+    return [code.astype(np.uint32), *reversed(out)], total
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and for every key the number of its like."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
 
 
 def _stats(kind: int, shard: int, numbers: list[int], files: str = "") -> pd.DataFrame:
@@ -187,16 +216,43 @@ def _stats(kind: int, shard: int, numbers: list[int], files: str = "") -> pd.Dat
 # --- counting ---------------------------------------------------------------------------------------------
 
 
-def _folds(batches: Iterator[pd.DataFrame], most: int = FOLD) -> Iterator[list[np.ndarray]]:
-    """Word hashes of texts, each with the end, about `most` tokens at a time."""
+class _Local(dict):
+    """Numbers that a task gives to words as it meets them (0: the end of a text), and the words' hashes. Forgotten
+    between folds when there are many, so memory is bounded by what one fold holds."""
+
+    most = 150_000
+
+    def __init__(self) -> None:
+        self.hashes = array("Q", [int(END)])
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return n
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        ws = words(text)
+        out = np.zeros(len(ws) + 1, dtype=np.uint32)
+        out[:-1] = np.fromiter(map(self.__getitem__, ws), dtype=np.uint32, count=len(ws))
+        return out
+
+    def trimmed(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+            self.__init__()
+
+
+def _folds(batches: Iterator[pd.DataFrame], local: _Local, most: int = FOLD) -> Iterator[list[np.ndarray]]:
+    """Local numbers of texts' words, each with the end, about `most` tokens at a time."""
     held, size = [], 0
     for pdf in batches:
         for text in pdf["text"]:
-            held.append(np.append(word_hashes(text), END))
+            held.append(local.numbers(text))
             size += len(held[-1])
             if size >= most:
                 yield held
                 held, size = [], 0
+                local.trimmed()
     if held:
         yield held
 
@@ -205,6 +261,10 @@ def _halves(keys: np.ndarray) -> list[np.ndarray]:
     return [(keys >> U64(32)).astype(np.uint32), keys.astype(np.uint32)]
 
 
+def _whole(halves: list[np.ndarray]) -> np.ndarray:
+    return halves[0].astype(U64) << U64(32) | halves[1]
+
+
 def _classes(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
@@ -213,18 +273,21 @@ def _count_words(texts: DataFrame, path: str, shards: int) -> DataFrame:
     """Writes the words' arrays; statistics: tokens, words, and words of each class."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _folds(batches):
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            yield _pieces(WORDS, _halves(keys), n, _shard(keys, shards))
+        local = _Local()
+        for held in _folds(batches, local):
+            hashes = np.frombuffer(local.hashes, dtype=U64).copy()
+            n = np.bincount(np.concatenate(held), minlength=len(hashes))
+            columns, n = _distinct(_halves(hashes[n > 0]), n[n > 0])
+            yield _pieces(WORDS, columns, n, _shard(_whole(columns), shards))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        (high, low), n = _joined(pdf, 2)
+        columns, n = _joined(pdf, 2)
         shard, kind = int(pdf["shard"].iloc[0]), _classes(n)
         place = np.empty(len(n), dtype=np.int64)  # among the words of its class here
         order = np.argsort(kind, kind="stable")
         sizes = np.bincount(kind, minlength=CLASSES)
         place[order] = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        _save(f"{path}/w-{shard}", **_parted(high.astype(U64) << U64(32) | low), counts=_narrow(n), place=_narrow(place))
+        _save(f"{path}/w-{shard}", **_parted(_whole(columns)), counts=_narrow(n), place=_narrow(place))
         return _stats(WORDS, shard, [n.sum(), len(n), *sizes], f"w-{shard}")
 
     return texts.mapInPandas(count, PIECES).groupBy("shard").applyInPandas(merge, PIECES)
@@ -256,9 +319,9 @@ def _spread(counts: np.ndarray, rows: np.ndarray, words: int, most: int) -> np.n
 
 def _count_grams(texts: DataFrame, m: Model, order: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = _lookup(m)
-        for held in _folds(batches):
-            ids, seen = look.words(np.concatenate(held))
+        look, local = _lookup(m), _Local()
+        for held in _folds(batches, local):
+            ids, seen = look.local(local, held)
             p, left = _padded(held, ids, m.vocabulary)
             c, _ = _padded(held, np.minimum(seen, UNKNOWN), UNKNOWN)  # a begin is as frequent as can be
             rows = np.flatnonzero(left >= order)
@@ -275,14 +338,17 @@ def _count_grams(texts: DataFrame, m: Model, order: int) -> DataFrame:
 
 
 def _gathered(columns: list[np.ndarray], c: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """What contexts gather: the sum of their n-grams' counts, and how many of these are 1, 2, and 3 or more."""
-    return _distinct(columns[:-1], np.stack([c, c == 1, c == 2, c >= 3], axis=1).astype(np.int64))
+    """Of sorted n-grams, what contexts gather: the sum of the counts, and how many of these are 1, 2, and 3 or more."""
+    new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns[:-1]], axis=0)]) if len(c) else np.zeros(0, dtype=bool)
+    at = np.flatnonzero(new)
+    stats = [np.add.reduceat(x.astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for x in (c, c == 1, c == 2, c >= 3)]
+    return [x[at] for x in columns[:-1]], np.stack(stats, axis=1)
 
 
 def _coded(stats: np.ndarray) -> dict[str, np.ndarray]:
     """Rows of statistics as numbers of the distinct ones."""
-    distinct, code = np.unique(stats, axis=0, return_inverse=True)
-    return {"code": _narrow(code.ravel()), "table": distinct}
+    _, at, code = _groups(_key(list(stats.T)))
+    return {"code": _narrow(code), "table": stats[at]}
 
 
 def _below(columns: list[np.ndarray], shards: int) -> pd.DataFrame:
@@ -295,27 +361,42 @@ def _number_of(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def _followers(columns: list[np.ndarray], c: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of sorted n-grams by their contexts: the contexts' sorted keys and what they gather; in the same order
+    the last words with counts. first: where a context's words begin, from `base` of its upper 16 bits on."""
+    contexts, stats = _gathered(columns, c)
+    keys, n = _key(contexts), stats[:, 1:].sum(axis=1)
+    by_key = np.argsort(keys)
+    keys, begin, n = keys[by_key], (np.cumsum(n) - n)[by_key], n[by_key]
+    first = np.cumsum(n) - n
+    rows = np.arange(len(c)) + np.repeat(begin - first, n)
+    word = columns[-1][rows]
+    parted = _parted(keys)
+    base = np.append(first, len(c))[parted["at"].astype(np.int64)]
+    return {
+        **parted, **_coded(stats[by_key]), "base": _narrow(base), "first": _narrow(first - base[(keys >> U64(48)).astype(np.int64)]),
+        "word_high": _narrow(word >> np.uint32(16)), "word_low": word.astype(np.uint16), "times": _narrow(c[rows]),
+    }
+
+
 def _merge_top(pieces: DataFrame, path: str, shards: int, order: int) -> DataFrame:
-    """Writes n-grams of the highest order, and what their contexts gather; beginnings pass through."""
+    """Writes contexts of the highest order with the words that follow them; n-grams of spread contexts are written by
+    their own keys, and what these contexts gather is sent on. Beginnings pass through."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, out, name = int(pdf["shard"].iloc[0]), [pdf[pdf["kind"] > COUNTS]], ""
+        shard, out = int(pdf["shard"].iloc[0]), [pdf[pdf["kind"] > COUNTS]]
         own, hot = (_joined(pdf[pdf["kind"] == k], order) for k in (GRAMS, SPREAD))
-        columns, c = [np.concatenate(x) for x in zip(own[0], hot[0], strict=True)], np.concatenate([own[1], hot[1]])
-        if len(c):
-            keys = _key(columns)
-            by_key = np.argsort(keys)
-            _save(f"{path}/{order}-{shard}", **_parted(keys[by_key]), counts=_narrow(c[by_key]))
-            out += [_stats(order, shard, _number_of(c), f"{order}-{shard}"), _below(columns, shards)]
+        numbers = [x + y for x, y in zip(_number_of(own[1]), _number_of(hot[1]), strict=True)]
+        out.append(_stats(order, shard, numbers))
         if len(own[1]):
-            contexts, stats = _gathered(*own)
-            keys = _key(contexts)
-            by_key = np.argsort(keys)
-            _save(f"{path}/{order - 1}-{shard}", **_parted(keys[by_key]), **_coded(stats[by_key]))
-            out.append(_stats(CONTEXTS, shard, [], f"{order - 1}-{shard}"))
+            _save(f"{path}/{order - 1}-{shard}", **_followers(*own))
+            out += [_stats(CONTEXTS, shard, [], f"{order - 1}-{shard}"), _below(own[0], shards)]
         if len(hot[1]):
+            keys = _key(hot[0])
+            by_key = np.argsort(keys)
+            _save(f"{path}/{order}-{shard}", **_parted(keys[by_key]), counts=_narrow(hot[1][by_key]))
             contexts, stats = _gathered(*hot)
-            out.append(_pieces(CONTEXTS + order - 1, contexts, stats, _shard(_key(contexts), shards)))
+            out += [_stats(CONTEXTS, shard, [], f"{order}-{shard}"), _below(hot[0], shards), _pieces(CONTEXTS + order - 1, contexts, stats, _shard(_key(contexts), shards))]
         return pd.concat(out)
 
     return pieces.groupBy("shard").applyInPandas(run, PIECES)
@@ -399,13 +480,13 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, or
     def total(found: dict[int, dict[int, np.ndarray]], kind: int, n: int) -> np.ndarray:
         return sum(found.get(kind, {}).values(), np.zeros(n, dtype=np.int64))
 
-    words = taken(cut(_count_words(texts, path, word_shards))).get(WORDS, {})
-    tokens, vocabulary = (int(sum(x[k] for x in words.values())) for k in (0, 1))
+    of_words = taken(cut(_count_words(texts, path, word_shards))).get(WORDS, {})
+    tokens, vocabulary = (int(sum(x[k] for x in of_words.values())) for k in (0, 1))
     if vocabulary >= UNKNOWN - 1:
         raise ValueError(f"{vocabulary} different words are too many")
     release(spark)
     n = shards or max(least, -(-tokens // SHARD_TOKENS))
-    known = Model(path, word_shards, n, tokens, vocabulary, _numbered({k: x[2:] for k, x in words.items()}, word_shards), frozenset(files), frequent)
+    known = Model(path, word_shards, n, tokens, vocabulary, _numbered({k: x[2:] for k, x in of_words.items()}, word_shards), frozenset(files), frequent)
     merged = cut(_merge_top(_count_grams(texts, known, order), path, n, order))
     found = taken(merged)
     number = {order: total(found, order, 4)}
@@ -459,53 +540,93 @@ class Lookup:
                 ids[rows] = self.first[s, _classes(counts[rows])] + a["place"][k]
         return ids[back], counts[back]
 
-    def grams(self, columns: list[np.ndarray], hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams, and what they gather as contexts, 0 where training has not seen them. hot: of the
-        highest order, whether their contexts are spread."""
-        m, keys = len(columns), _key(columns)
-        top = m == self.m.order
-        where = keys if not top else np.where(hot, keys, _key(columns[:-1]))
-        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        counts, stats = np.zeros(len(distinct), dtype=np.int64), np.zeros((0 if top else len(distinct), 4), dtype=np.int64)
-        for s, rows in self._by_shard(_shard(where[at], self.m.shards)):
-            for name in (f"{m}-{s}", f"{m}x-{s}"):
-                if len(rows) and (a := self._arrays(name, "counts", *(() if top else ("code", "table")))):
+    def local(self, local: _Local, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """words() of texts in local numbers. Each word is looked up once."""
+        own = np.concatenate(held)
+        met = np.flatnonzero(np.bincount(own, minlength=len(local.hashes)))
+        ids, counts = np.zeros(len(local.hashes), dtype=np.uint32), np.zeros(len(local.hashes), dtype=np.int64)
+        ids[met], counts[met] = self.words(np.frombuffer(local.hashes, dtype=U64)[met])
+        return ids[own], counts[own]
+
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of n-grams: counts, what they gather as contexts, and the shard and place where the words begin that follow
+        them (-1: nowhere, or they are spread). 0 where training has not seen them."""
+        m = len(columns)
+        distinct, _, back = _groups(_key(columns))
+        counts, stats, begin = np.zeros(len(distinct), dtype=np.int64), np.zeros((len(distinct), 4), dtype=np.int64), np.full(len(distinct), -1)
+        shard = _shard(distinct, self.m.shards)
+        for s, rows in self._by_shard(shard):
+            for name, above in ((f"{m}-{s}", ("base", "first", "word_high", "word_low", "times")), (f"{m}x-{s}", ())):
+                if len(rows) and (a := self._arrays(name, "counts", "code", "table", *above)):
                     k = _find(a, distinct[rows])
-                    hit = k >= 0
-                    counts[rows[hit]] = a["counts"][k[hit]]
-                    if not top:
-                        stats[rows[hit]] = a["table"][a["code"][k[hit]]]
-                    rows = rows[~hit]
-        return counts[back], stats if top else stats[back]
-
-    def logs(self, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    hit, k, rows = rows[k >= 0], k[k >= 0], rows[k < 0]
+                    counts[hit], stats[hit] = a["counts"][k], a["table"][a["code"][k]]
+                    if above:
+                        begin[hit] = a["base"][(distinct[hit] >> U64(48)).astype(np.int64)].astype(np.int64) + a["first"][k]
+        return counts[back], stats[back], shard[back], begin[back]
+
+    def following(self, shard: np.ndarray, begin: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Counts of n-grams of the highest order: of a word among the n that follow a context, by bisection."""
+        out = np.zeros(len(word), dtype=np.int64)
+        for s, rows in self._by_shard(shard):
+            a = self.open[f"{self.m.order - 1}-{s}"]
+            high, low, want, end = a["word_high"], a["word_low"], word[rows], begin[rows] + n[rows]
+            of = lambda k: high[k].astype(np.uint32) << np.uint32(16) | low[k]  # noqa: B023, E731
+            before = begin[rows] - 1  # the last place known to hold less
+            for bit in reversed(range(int(n[rows].max()).bit_length())):
+                some = np.flatnonzero(n[rows] >= 1 << bit)
+                k = before[some] + (1 << bit)
+                less = (k < end[some]) & (of(np.minimum(k, len(high) - 1)) < want[some])
+                before[some] += less.astype(np.int64) << bit
+            k = np.minimum(before + 1, len(high) - 1)
+            out[rows] = np.where((before + 1 < end) & (of(k) == want), a["times"][k], 0)
+        return out
+
+    def spread(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Counts of n-grams of the highest order whose contexts are spread."""
+        distinct, _, back = _groups(_key(columns))
+        out = np.zeros(len(distinct), dtype=np.int64)
+        for s, rows in self._by_shard(_shard(distinct, self.m.shards)):
+            if a := self._arrays(f"{self.m.order}-{s}", "counts"):
+                k = _find(a, distinct[rows])
+                out[rows[k >= 0]] = a["counts"][k[k >= 0]]
+        return out[back]
+
+    def logs(self, local: _Local, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the tokens of texts: log10 probabilities, base log10 probabilities, training counts."""
         m = self.m
-        ids, word = self.words(np.concatenate(held))
+        ids, word = self.local(local, held)
         base = np.log10((word + 0.1) / (m.train_tokens + 0.1 * (m.vocabulary + 1)))
         p, left = _padded(held, ids, m.vocabulary)
         seen, _ = _padded(held, np.minimum(word, UNKNOWN), UNKNOWN)
         token = np.concatenate([[False], left[1:] < left[:-1]])  # all places but the begins
         d = np.array([0.0, *m.low_discounts])
-        cont, gathered = self.grams([p])  # of the words that end at each place
+        counts, gathered, shard, begin = self.grams([p])  # of the words that end at each place
         uniform = 1.0 / (m.vocabulary + 1)
         if m.low_total:
-            prob = (cont - d[np.minimum(cont, 3)]) / m.low_total + np.dot(m.low_discounts, m.low_kinds) / m.low_total * uniform
+            prob = (counts - d[np.minimum(counts, 3)]) / m.low_total + np.dot(m.low_discounts, m.low_kinds) / m.low_total * uniform
         else:
             prob = np.full(len(p), uniform)
         for k in range(2, m.order + 1):
             d = np.array([0.0, *m.discounts[k - 2]])
             rows = np.flatnonzero(left >= k)  # where n-grams begin; they end k - 1 places on
-            columns = [p[rows + j] for j in range(k)]
-            both, above = self.grams(columns, _spread(seen, rows, k - 1, m.frequent) if k == m.order else None)
-            context = gathered[rows + k - 2]
-            total = np.maximum(context[:, 0], 1)
             at = rows + k - 1
+            context = gathered[at - 1]
+            if k < m.order:
+                found = self.grams([p[rows + j] for j in range(k)])
+                both = found[0]
+            else:
+                both = np.zeros(len(rows), dtype=np.int64)
+                here = np.flatnonzero(begin[at - 1] >= 0)
+                both[here] = self.following(shard[at[here] - 1], begin[at[here] - 1], context[here, 1:].sum(axis=1), p[at[here]])
+                hot = np.flatnonzero((begin[at - 1] < 0) & (context[:, 0] > 0) & _spread(seen, rows, k - 1, m.frequent))
+                both[hot] = self.spread([p[rows[hot] + j] for j in range(k)])
+            total = np.maximum(context[:, 0], 1)
             high = (both - d[np.minimum(both, 3)]) / total + context[:, 1:] @ d[1:] / total * prob[at]
             prob[at] = np.where(context[:, 0] > 0, high, prob[at])
             if k < m.order:
-                gathered = np.zeros_like(gathered)
-                gathered[at] = above
+                gathered, begin, shard = np.zeros_like(gathered), np.full(len(p), -1), np.zeros(len(p), dtype=np.int64)
+                gathered[at], shard[at], begin[at] = found[1:]
         return np.log10(prob[token]), base, word
 
 
@@ -522,11 +643,11 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _lookup(m)
+        look, local = _lookup(m), _Local()
 
         def flush() -> pa.RecordBatch:
             at = np.cumsum([0, *(len(x) for x in held[:-1])])
-            log, base, word = look.logs(held)
+            log, base, word = look.logs(local, held)
             return batch_of(
                 schema,
                 {
@@ -540,13 +661,14 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [np.append(word_hashes(t), END) for t in b.column("text").to_pylist()]
+            new = [local.numbers(t) for t in b.column("text").to_pylist()]
             held += new
             ids.append(b.column("doc_id"))
             size += sum(map(len, new))
             if size >= AT_ONCE:
                 yield flush()
                 held, ids, size = [], [], 0
+                local.trimmed()
         if held:
             yield flush()
 
