@@ -6,6 +6,8 @@ import gc
 import os
 import re
 import tempfile
+from collections.abc import Sequence
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -92,30 +94,91 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered. Cleared when large, so its memory is bounded."""
-
-    most = 100_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text with A-Z in lower case, as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: Bytes of texts that are hashed at once, and of a word up to which its hash is a polynomial of its bytes.
+CHUNK, LONG_WORD = 1 << 19, 48
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+@lru_cache(maxsize=1)
+def _polynomial() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, and the powers of an odd base and of its inverse modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    of_byte = np.random.default_rng(41).integers(0, 2**64, 256, dtype=U64)
+    factors = [np.full(CHUNK + 1, b, dtype=U64) for b in (base, pow(base, -1, 2**64))]
+    for f in factors:
+        f[0] = 1
+    return of_byte, *(np.cumprod(f, dtype=U64) for f in factors)
+
+
+def _hashed_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of at most CHUNK bytes, and where they begin. A word's polynomial is a difference of the
+    running sum, shifted back to its begin; words over LONG_WORD bytes, for which such sums are weak, are hashed whole."""
+    of_byte, power, inverse = _polynomial()
+    a = np.frombuffer(data, dtype=np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[a], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(of_byte[a] * power[: len(a)], dtype=U64)])
+    h = mix((total[end] - total[first]) * inverse[first] + (end - first).astype(U64))
+    for k in np.flatnonzero(end - first > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(data[first[k] : end[k]])
+    return h, first
+
+
+def hash_words(texts: Sequence[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of the words() of texts, in order, an array for each text."""
+    out: list[np.ndarray] = []
+    held, size = [], 0
+
+    def flush() -> None:
+        nonlocal held, size
+        h, first = _hashed_chunk(b"\n".join(held))
+        begin = np.cumsum([0, *(len(x) + 1 for x in held)])
+        out.extend(np.split(h, np.searchsorted(first, begin[1:-1])))
+        held, size = [], 0
+
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass").lower() if text else b""
+        if held and size + len(data) >= CHUNK:
+            flush()
+        if len(data) < CHUNK:
+            held.append(data)
+            size += len(data) + 1
+        else:
+            out.append(_hashed_long(data))
+    if held:
+        flush()
+    return out
+
+
+def _hashed_long(data: bytes) -> np.ndarray:
+    """As of a text of any length, in pieces that end at white space; a word that fills a piece is hashed whole."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        if end < len(data):
+            spaces = np.flatnonzero(_SPACE[np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)])
+            if len(spaces):
+                end = at + int(spaces[-1]) + 1
+            else:
+                rest = re.compile(rb"[\x20\x09-\x0D]").search(data, end)
+                end = rest.start() if rest else len(data)
+                parts.append(np.array([xxhash.xxh3_64_intdigest(data[at:end])], dtype=U64))
+                at = end
+                continue
+        parts.append(_hashed_chunk(data[at:end])[0])
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=U64)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word of a text, in order."""
-    ws = words(text)
-    return np.fromiter(map(_HASHES.__getitem__, ws), dtype=U64, count=len(ws))
+    return hash_words([text])[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

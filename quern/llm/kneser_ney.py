@@ -17,8 +17,7 @@ import atexit
 import os
 import shutil
 import uuid
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from urllib.parse import urlparse
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import U64, bucket_of, cut, mix, release, session, shared_dir, table, words
+from quern.llm.common import U64, bucket_of, cut, hash_words, mix, release, session, shared_dir, table
 
 #: Hash of the end of a text, which is a token. No word has white space.
 END = U64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -216,43 +215,20 @@ def _stats(kind: int, shard: int, numbers: list[int], files: str = "") -> pd.Dat
 # --- counting ---------------------------------------------------------------------------------------------
 
 
-class _Local(dict):
-    """Numbers that a task gives to words as it meets them (0: the end of a text), and the words' hashes. Forgotten
-    between folds when there are many, so memory is bounded by what one fold holds."""
+def _hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
+    """Hashes of the words of texts, each with the end."""
+    return [np.append(h, END) for h in hash_words(texts)]
 
-    most = 150_000
 
-    def __init__(self) -> None:
-        self.hashes = array("Q", [int(END)])
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return n
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        ws = words(text)
-        out = np.zeros(len(ws) + 1, dtype=np.uint32)
-        out[:-1] = np.fromiter(map(self.__getitem__, ws), dtype=np.uint32, count=len(ws))
-        return out
-
-    def trimmed(self) -> None:
-        if len(self) > self.most:
-            self.clear()
-            self.__init__()
-
-
-def _folds(batches: Iterator[pd.DataFrame], local: _Local, most: int = FOLD) -> Iterator[list[np.ndarray]]:
-    """Local numbers of texts' words, each with the end, about `most` tokens at a time."""
+def _folds(batches: Iterator[pd.DataFrame], most: int = FOLD) -> Iterator[list[np.ndarray]]:
+    """Word hashes of texts, each with the end, about `most` tokens at a time."""
     held, size = [], 0
     for pdf in batches:
-        for text in pdf["text"]:
-            held.append(local.numbers(text))
-            size += len(held[-1])
-            if size >= most:
-                yield held
-                held, size = [], 0
-                local.trimmed()
+        held += (new := _hashes(pdf["text"].tolist()))
+        size += sum(map(len, new))
+        if size >= most:
+            yield held
+            held, size = [], 0
     if held:
         yield held
 
@@ -273,12 +249,9 @@ def _count_words(texts: DataFrame, path: str, shards: int) -> DataFrame:
     """Writes the words' arrays; statistics: tokens, words, and words of each class."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local = _Local()
-        for held in _folds(batches, local):
-            hashes = np.frombuffer(local.hashes, dtype=U64).copy()
-            n = np.bincount(np.concatenate(held), minlength=len(hashes))
-            columns, n = _distinct(_halves(hashes[n > 0]), n[n > 0])
-            yield _pieces(WORDS, columns, n, _shard(_whole(columns), shards))
+        for held in _folds(batches):
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            yield _pieces(WORDS, _halves(keys), n, _shard(keys, shards))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         columns, n = _joined(pdf, 2)
@@ -319,9 +292,9 @@ def _spread(counts: np.ndarray, rows: np.ndarray, words: int, most: int) -> np.n
 
 def _count_grams(texts: DataFrame, m: Model, order: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look, local = _lookup(m), _Local()
-        for held in _folds(batches, local):
-            ids, seen = look.local(local, held)
+        look = _lookup(m)
+        for held in _folds(batches):
+            ids, seen = look.words(np.concatenate(held))
             p, left = _padded(held, ids, m.vocabulary)
             c, _ = _padded(held, np.minimum(seen, UNKNOWN), UNKNOWN)  # a begin is as frequent as can be
             rows = np.flatnonzero(left >= order)
@@ -506,7 +479,7 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, or
 
 
 def _load(base: str, *names: str) -> dict[str, np.ndarray]:
-    return {n: np.load(f"{base}.{n}.npy", mmap_mode="r") for n in names}
+    return {n: np.asarray(np.load(f"{base}.{n}.npy", mmap_mode="r")) for n in names}
 
 
 class Lookup:
@@ -516,6 +489,7 @@ class Lookup:
         self.m = m
         self.first = np.array(m.first, dtype=np.int64).reshape(-1, CLASSES)
         self.open: dict[str, dict[str, np.ndarray] | None] = {}
+        self.shares: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def _arrays(self, name: str, *columns: str) -> dict[str, np.ndarray] | None:
         if name not in self.open:
@@ -524,13 +498,13 @@ class Lookup:
 
     @staticmethod
     def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
         ids, at = np.unique(shard[order], return_index=True)
         return zip(map(int, ids), np.split(order, at[1:]) if len(ids) else [], strict=True)
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and training counts of words; UNKNOWN and 0 where training has not seen them."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+        distinct, _, back = _groups(hashes)
         ids, counts = np.full(len(distinct), UNKNOWN, dtype=np.uint32), np.zeros(len(distinct), dtype=np.int64)
         for s, rows in self._by_shard(_shard(distinct, self.m.word_shards)):
             if a := self._arrays(f"w-{s}", "counts", "place"):
@@ -540,30 +514,34 @@ class Lookup:
                 ids[rows] = self.first[s, _classes(counts[rows])] + a["place"][k]
         return ids[back], counts[back]
 
-    def local(self, local: _Local, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """words() of texts in local numbers. Each word is looked up once."""
-        own = np.concatenate(held)
-        met = np.flatnonzero(np.bincount(own, minlength=len(local.hashes)))
-        ids, counts = np.zeros(len(local.hashes), dtype=np.uint32), np.zeros(len(local.hashes), dtype=np.int64)
-        ids[met], counts[met] = self.words(np.frombuffer(local.hashes, dtype=U64)[met])
-        return ids[own], counts[own]
-
-    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of n-grams: counts, what they gather as contexts, and the shard and place where the words begin that follow
-        them (-1: nowhere, or they are spread). 0 where training has not seen them."""
+    def _contexts(self, name: str, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By code: how often contexts of m words occur, how many words follow them, and the share that all of these
+        give up for lower orders."""
+        if name not in self.shares:
+            total, kinds = self.open[name]["table"][:, 0], self.open[name]["table"][:, 1:]
+            self.shares[name] = total, kinds.sum(axis=1), kinds @ np.array(self.m.discounts[m - 1]) / np.maximum(total, 1)
+        return self.shares[name]
+
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Of n-grams, 0 where training has not seen them: counts; as contexts, how often they occur, how many words
+        follow, the share for lower orders, and the shard and place where the words that follow begin (-1: nowhere, or
+        they are spread)."""
         m = len(columns)
         distinct, _, back = _groups(_key(columns))
-        counts, stats, begin = np.zeros(len(distinct), dtype=np.int64), np.zeros((len(distinct), 4), dtype=np.int64), np.full(len(distinct), -1)
+        counts, total, n, begin = (np.zeros(len(distinct), dtype=np.int64) for _ in range(4))
+        share, begin[:] = np.zeros(len(distinct)), -1
         shard = _shard(distinct, self.m.shards)
         for s, rows in self._by_shard(shard):
             for name, above in ((f"{m}-{s}", ("base", "first", "word_high", "word_low", "times")), (f"{m}x-{s}", ())):
                 if len(rows) and (a := self._arrays(name, "counts", "code", "table", *above)):
                     k = _find(a, distinct[rows])
                     hit, k, rows = rows[k >= 0], k[k >= 0], rows[k < 0]
-                    counts[hit], stats[hit] = a["counts"][k], a["table"][a["code"][k]]
+                    counts[hit], code = a["counts"][k], a["code"][k]
+                    for out, x in zip((total, n, share), self._contexts(name, m), strict=True):
+                        out[hit] = x[code]
                     if above:
                         begin[hit] = a["base"][(distinct[hit] >> U64(48)).astype(np.int64)].astype(np.int64) + a["first"][k]
-        return counts[back], stats[back], shard[back], begin[back]
+        return tuple(x[back] for x in (counts, total, n, share, shard, begin))
 
     def following(self, shard: np.ndarray, begin: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Counts of n-grams of the highest order: of a word among the n that follow a context, by bisection."""
@@ -592,16 +570,16 @@ class Lookup:
                 out[rows[k >= 0]] = a["counts"][k[k >= 0]]
         return out[back]
 
-    def logs(self, local: _Local, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def logs(self, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the tokens of texts: log10 probabilities, base log10 probabilities, training counts."""
         m = self.m
-        ids, word = self.local(local, held)
+        ids, word = self.words(np.concatenate(held))
         base = np.log10((word + 0.1) / (m.train_tokens + 0.1 * (m.vocabulary + 1)))
         p, left = _padded(held, ids, m.vocabulary)
         seen, _ = _padded(held, np.minimum(word, UNKNOWN), UNKNOWN)
         token = np.concatenate([[False], left[1:] < left[:-1]])  # all places but the begins
         d = np.array([0.0, *m.low_discounts])
-        counts, gathered, shard, begin = self.grams([p])  # of the words that end at each place
+        counts, *above = self.grams([p])  # of the words that end at each place
         uniform = 1.0 / (m.vocabulary + 1)
         if m.low_total:
             prob = (counts - d[np.minimum(counts, 3)]) / m.low_total + np.dot(m.low_discounts, m.low_kinds) / m.low_total * uniform
@@ -611,22 +589,22 @@ class Lookup:
             d = np.array([0.0, *m.discounts[k - 2]])
             rows = np.flatnonzero(left >= k)  # where n-grams begin; they end k - 1 places on
             at = rows + k - 1
-            context = gathered[at - 1]
+            total, n, share, shard, begin = (x[at - 1] for x in above)
             if k < m.order:
-                found = self.grams([p[rows + j] for j in range(k)])
-                both = found[0]
+                both, *found = self.grams([p[rows + j] for j in range(k)])
             else:
                 both = np.zeros(len(rows), dtype=np.int64)
-                here = np.flatnonzero(begin[at - 1] >= 0)
-                both[here] = self.following(shard[at[here] - 1], begin[at[here] - 1], context[here, 1:].sum(axis=1), p[at[here]])
-                hot = np.flatnonzero((begin[at - 1] < 0) & (context[:, 0] > 0) & _spread(seen, rows, k - 1, m.frequent))
+                here = np.flatnonzero(begin >= 0)
+                both[here] = self.following(shard[here], begin[here], n[here], p[at[here]])
+                hot = np.flatnonzero((begin < 0) & (total > 0) & _spread(seen, rows, k - 1, m.frequent))
                 both[hot] = self.spread([p[rows[hot] + j] for j in range(k)])
-            total = np.maximum(context[:, 0], 1)
-            high = (both - d[np.minimum(both, 3)]) / total + context[:, 1:] @ d[1:] / total * prob[at]
-            prob[at] = np.where(context[:, 0] > 0, high, prob[at])
+            high = (both - d[np.minimum(both, 3)]) / np.maximum(total, 1) + share * prob[at]
+            prob[at] = np.where(total > 0, high, prob[at])
             if k < m.order:
-                gathered, begin, shard = np.zeros_like(gathered), np.full(len(p), -1), np.zeros(len(p), dtype=np.int64)
-                gathered[at], shard[at], begin[at] = found[1:]
+                for x, y in zip(above, found, strict=True):
+                    x[:] = 0
+                    x[at] = y
+                above[-1][np.delete(np.arange(len(p)), at)] = -1
         return np.log10(prob[token]), base, word
 
 
@@ -643,11 +621,11 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, local = _lookup(m), _Local()
+        look = _lookup(m)
 
         def flush() -> pa.RecordBatch:
             at = np.cumsum([0, *(len(x) for x in held[:-1])])
-            log, base, word = look.logs(local, held)
+            log, base, word = look.logs(held)
             return batch_of(
                 schema,
                 {
@@ -661,14 +639,13 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [local.numbers(t) for t in b.column("text").to_pylist()]
+            new = _hashes(b.column("text").to_pylist())
             held += new
             ids.append(b.column("doc_id"))
             size += sum(map(len, new))
             if size >= AT_ONCE:
                 yield flush()
                 held, ids, size = [], [], 0
-                local.trimmed()
         if held:
             yield flush()
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import batch_of
-from quern.llm.common import U64, cut, mix, odd_constants, release, session, table, text_key, with_class, word_hashes
+from quern.llm.common import U64, cut, hash_words, mix, odd_constants, release, session, table, text_key, with_class, word_hashes
 from quern.llm.components import connected_components
 
 MANTISSA = 10
@@ -54,7 +54,11 @@ class Scheme:
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles of a text; with fewer words, one for them all."""
-    h = word_hashes(text)
+    return shingled(word_hashes(text), n)
+
+
+def shingled(h: np.ndarray, n: int) -> np.ndarray:
+    """shingles() of the hashes of a text's words."""
     if not len(h):
         return h
     c = odd_constants(n, 11)
@@ -122,7 +126,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, s: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
         for b in batches:
-            sets = [shingles(t, s.words) for t in b.column("text").to_pylist()]
+            sets = [shingled(h, s.words) for h in hash_words(b.column("text").to_pylist())]
             yield batch_of(
                 schema,
                 {
