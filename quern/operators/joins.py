@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
-    """rows with the columns of counted, which has one row for each value of key and how many rows have it.
+def join_single(rows: DataFrame, single: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with single, which has one row for each value of key and comes from an aggregation by it.
 
-    Keys of over 1/most of all rows are fewer than `most`; they are broadcast, so that none of them sends its rows
-    to one task. The others are joined by a shuffle. Rows with a null key are dropped, as in any inner join.
+    Adaptive execution splits the rows of a hot key over tasks only where either side is freshly shuffled for the
+    join. An aggregate by the key is not; dealt out by a hash of the key first, which costs a shuffle of one row
+    for each key, it is.
     """
-    counted = counted.checkpoint()
-    least = max(1000, int(counted.agg(F.sum(count)).first()[0] or 0) // most)
-    head = F.broadcast(counted.where(F.col(count) >= least).limit(most))
-    rest = rows.join(head.select(key), key, "left_anti").join(counted.where(F.col(count) < least), key)
-    return rows.join(head, key).unionByName(rest)
+    return rows.join(single.repartition(F.xxhash64(key)), key, how)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.vocabulary import BOL, EOL
+from quern.operators.joins import join_single
 
 
 def padded(words: Column, n: int) -> Column:
@@ -66,18 +67,9 @@ class NGram:
     def scored(self, grams: DataFrame) -> DataFrame:
         """Adds count and context_count (0 where unseen) to rows with a column gram."""
         own = grams.join(self.counts, "gram", "left").withColumn("context", prefix(F.col("gram")))
-        own = self._with_contexts(own)
+        own = join_single(own, self.contexts(), "context", "left")
         return own.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("count", "context_count")})
 
-    def _with_contexts(self, own: DataFrame, most: int = 1000) -> DataFrame:
-        """Contexts that hold over 1/most of what was counted are fewer than `most` and broadcast, so that none of
-        them sends its rows to one task; the others are joined by a shuffle."""
-        contexts = self.contexts().checkpoint()
-        least = max(1000, int(contexts.agg(F.sum("context_count")).first()[0] or 0) // most)
-        head = F.broadcast(contexts.where(F.col("context_count") >= least).limit(most))
-        hot = own.join(head, "context")
-        return hot.unionByName(own.join(head.select("context"), "context", "left_anti").join(contexts.where(F.col("context_count") < least), "context", "left"))
-
     def probabilities(self, grams: DataFrame) -> DataFrame:
         """Adds log_prob."""
         raise NotImplementedError

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.joins import join_counted
+from quern.operators.joins import join_single
 
 BOL, EOL, UNK = "<bol>", "<eol>", "<unk>"
 
@@ -86,12 +86,12 @@ def _ranked(counts: DataFrame, parts: int = 64) -> DataFrame:
 
 def tfidf(rows: DataFrame, n_docs: DataFrame, smooth: bool = True, id_col: str = "doc_id") -> DataFrame:
     """Rows (id, token, tf, tfidf) with idf = ln((D + s) / (df + s)) + 1 of a table (id, token). n_docs: a
-    one-row table (n) with D. Tokens that very many documents have are joined by a broadcast."""
+    one-row table (n) with D. Tokens that very many documents have are spread over tasks by adaptive execution."""
     tf = rows.groupBy(id_col, "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     s = 1 if smooth else 0
     idf = F.log((F.col("n") + s) / (F.col("df") + s)) + 1
-    return join_counted(tf, df, "token", "df").crossJoin(F.broadcast(n_docs)).select(id_col, "token", "tf", (F.col("tf") * idf).alias("tfidf"))
+    return join_single(tf, df, "token").crossJoin(F.broadcast(n_docs)).select(id_col, "token", "tf", (F.col("tf") * idf).alias("tfidf"))
 
 
 def huffman_codes(counts: list[tuple[str, int]]) -> dict[str, str]:

@@ -12,7 +12,7 @@ from quern.operators import neighbors as K
 from quern.operators import structures as S
 from quern.operators import trees as T
 from quern.operators import vocabulary as V
-from quern.operators.joins import join_counted
+from quern.operators.joins import join_single
 
 
 def test_huffman_codes_are_prefix_free_and_short():
@@ -190,7 +190,9 @@ def test_gp_covariance_and_evidence(spark):
     assert m.evidence(m.kernel) == pytest.approx(m.marginal_log_likelihood())
 
 
-def test_joins_with_counted_keys(spark):
-    rows = spark.createDataFrame([("a", k) for k in range(5000)] + [("b", 1), ("c", 2), (None, 3)], "key string, x long")
-    counted = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
-    assert sorted(map(tuple, join_counted(rows, counted, "key", "n").collect())) == sorted(map(tuple, rows.join(counted, "key").collect()))
+def test_single_rows_are_shuffled_for_the_join(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(500)] + [("b", 1), ("c", 2), (None, 3)], "key string, x long")
+    single = rows.where("key is not null and key <> 'c'").groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = join_single(rows, single, "key", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(single, "key", how).collect()))
