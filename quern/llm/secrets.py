@@ -97,7 +97,7 @@ def labelled_samples(docs: DataFrame, s: Settings = Settings(), id_col: str = "d
     chosen = own.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(s.documents)
     some = own.join(F.broadcast(chosen), "id")
     own_words = F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0)), lambda w: ~w.rlike("[0-9]{2}") & (F.length(w) <= 40))
-    at = F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0)), F.lit(3))
+    at = F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0)), F.lit(9))  # nine kinds of joins, so as many joined as plain
     number = lambda k: F.pmod(F.crc32(F.get("w", k).cast("binary")), F.lit(100_000)).cast("string")
     capital = lambda v: F.concat(F.upper(F.substring(v, 1, 1)), F.substring(v, 2, 40))
     joins = [*map(_joining, ("_", "-", "/", "")),
