@@ -147,6 +147,57 @@ def test_quality_sees_every_word_and_shape_in_any_order():
     assert len(set(Q.hashed(" ".join(long), 31))) > 8990 and len(Q.hashed(None, 13))
 
 
+def plain_features(text, bits):
+    """hashed() written out word by word."""
+    ws, golden, out = (text or "").split(), 0x9E3779B97F4A7C15, set()
+
+    def shape(w):
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w]
+        return "".join(k for j, k in enumerate(kinds) if j == 0 or kinds[j - 1] != k)
+
+    def finished(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    for kind, name, values in (("word", lambda w: f"word {w.lower()}", ws), ("shape", lambda x: f"shape {x}", [shape(w) for w in ws])):
+        for v, c in Counter(values).items():
+            levels = [0] + [k for k in range(1, 13) if c / len(ws) >= 2.0 ** (k - 13)]
+            out |= {finished((Q._hash(name(v)) + k * golden) % 2**64) >> (64 - bits) for k in levels}
+    return out | {Q._hash(t) >> (64 - bits) for t in Q.tokens(text, len(ws), Counter(ws), sum(map(len, ws)))}
+
+
+def test_quality_features_against_plain_python():
+    rng = np.random.default_rng(5)
+    texts = [t for (t,) in duckdb.sql(f"select text from read_parquet('{SF}/documents.parquet')").fetchall()][:60]
+    texts += [None, "", "a", "a a a A", "Ééß 12-34 __ x" * 40, " ".join(f"W{k}" for k in rng.integers(0, 50, 9000))]
+    for bits in (13, 24):
+        for t in texts:
+            assert set(Q.hashed(t, bits).tolist()) == plain_features(t, bits)
+
+
+def test_quality_fit_minimises_the_stated_loss():
+    rng = np.random.default_rng(6)
+    rows = [sorted({int(x) for x in rng.integers(0, 8, 4)}) for _ in range(60)]
+    y = np.array([min(2, (0 in r) + (1 in r) + int(rng.random() < 0.2)) for r in rows])
+    s = Q.Settings(bits=3, ridge=0.01, steps=4000)
+    m = Q.fit_weights(rows, y, (0.0, 1.0, 2.0), s)
+
+    def loss(w, cuts):
+        out = s.ridge / 2 * sum(x * x for x in w)
+        for r, v in zip(rows, y, strict=True):
+            z = sum(w[x] for x in r) / math.sqrt(len(r))
+            below = [0.0, *(1 / (1 + math.exp(z - c)) for c in cuts), 1.0]
+            out -= math.log(max(below[v + 1] - below[v], 1e-12)) / len(rows)
+        return out
+
+    best = loss(m.weights, m.cuts)
+    for _ in range(300):
+        step = rng.normal(size=10) * rng.choice([0.003, 0.03, 0.3])
+        if (np.diff(m.cuts + step[8:]) > 0).all():
+            assert loss(m.weights + step[:8], m.cuts + step[8:]) > best - 1e-4
+
+
 def test_quality_on_held_out_rows(spark):
     r = Q.op10(spark, SF01).join(table(spark, SF01, "labels"), "doc_id").where("held_out").collect()
     assert auc([x["expected_grade"] for x in r], [x["quality"] for x in r]) > 0.9
