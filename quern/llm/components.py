@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut
 
 
-#: Edges beyond which the smallest neighbours are written before they are joined.
-LARGE = 2_000_000
+#: Edges beyond which the smallest neighbours are written before they are joined, and up to which one task takes all.
+LARGE, FEW = 2_000_000, 500_000
+
+
+def _reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges (u, v), and the smallest one that each reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, least = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while (least[a] != least[b]).any():
+        low = np.minimum(least[a], least[b])
+        for side in (least[a], least[b]):
+            np.minimum.at(least, side, low)
+        while (least[least] != least).any():
+            least = least[least]
+    return ids, ids[least]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(pdf["u"].to_numpy(), pdf["v"].to_numpy()) for pdf in batches if len(pdf)]
+        if held:
+            ids, least = _reached(*map(np.concatenate, zip(*held, strict=True)))
+            yield pd.DataFrame({"id": ids, "component_id": least})
+
+    return cut(edges.select("u", "v").coalesce(1).mapInPandas(run, "id long, component_id long"))
 
 
 def _least_neighbour(e: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, few: int = FEW) -> DataFrame:
     """Labels each vertex of edges (a, b) with the smallest vertex that it reaches: rows (id, component_id).
 
-    Alternates large-star and small-star steps, which need a number of rounds that grows with the logarithm
-    of the longest chain. Every step is a combinable minimum and an equi-join, so a vertex with very many
+    Up to `few` different edges one task labels all, without rounds, whose many small shuffles and tasks would take
+    more than the work itself. Beyond, it alternates large-star and small-star steps, which need a number of rounds
+    that grows with the logarithm of the longest chain. Every step is a combinable minimum and an equi-join, so a vertex with very many
     edges is pre-aggregated before the shuffle and its join can be split. Self-loops, repeated edges and
     edges with nulls are ignored; vertices without other edges do not appear. Only one row of counts per
     round reaches the driver.
@@ -30,9 +58,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
         .distinct()
     )
+    if (n := e.count()) <= few:
+        return _in_one_task(e)
     before = None
     # a join with an aggregate of its own key cannot be split; where edges are many, the aggregate is written first
-    least = (lambda x: cut(_least_neighbour(x))) if e.count() > LARGE else _least_neighbour
+    least = (lambda x: cut(_least_neighbour(x))) if n > LARGE else _least_neighbour
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         large = both.join(least(both), "u").where("v > u and v <> m").select("v", F.col("m").alias("u")).distinct()

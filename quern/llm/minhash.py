@@ -352,12 +352,14 @@ def _links(reps: DataFrame, sources: _Sources, s: Scheme) -> DataFrame:
         .select("key", "c")
     )
     left = cut(open_.join(cut(groups), "key"))
+    release(spark)
     few, many = left.where(F.col("c") <= s.few), left.where(F.col("c") > s.few)
     one, two = (few.select("key", F.col("rep").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
     more = one.join(two, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct()
     rest = first.join(best, ["a", "b"], "left_anti").select("a", "b").unionByName(_estimated(more, reps, s).select("a", "b")).distinct()
     rest = _labelled(_labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
     edges = edges.unionByName(cut(_confirmed(cut(rest), sources, s)))
+    release(spark)
     largest = many.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
     if not many.isEmpty():
         edges = edges.unionByName(cut(_blocked(cut(many.join(cut(largest), "key")), reps, sources, s)))
@@ -381,6 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = session(docs.sparkSession)
     sketches = cut(sketch(docs, id_col, text_col, scheme))
+    release(spark)
     full = sketches.where("n > 0")
     classes = cut(_classes(full))
     reps = classes.select("rep", "again").join(full.select(F.col("row").alias("rep"), "id", "tk", "n", "sig"), "rep")
