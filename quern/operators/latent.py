@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import glob
 import math
+import os
+import shutil
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -234,63 +240,161 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252))
 
 
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+def lgamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+#: Words whose sums by topic make a file, tokens that a task takes in, and pairs of document and word that it works on, at once.
+SPAN, TOKENS, PAIRS = 1 << 18, 1_000_000, 50_000
+
+
+@dataclass(frozen=True)
+class Topics:
+    """Probabilities of words under topics, from sums that workers map (or that travel with the tasks, where the
+    shared folder is not mounted). Without either, a draw from the uniform Dirichlet distribution by word and seed."""
+
+    total: tuple[float, ...]
+    vocabulary: int
+    seed: int = 0
+    path: str = ""
+    dense: np.ndarray | None = None
+    least: float = 0.0
+
+    @staticmethod
+    def drawn(words: np.ndarray, t: int, seed: int) -> np.ndarray:
+        x = np.arange(t, dtype=np.uint64)[:, None] + words.astype(np.uint64) * np.uint64(t) + np.uint64(seed % 2**32 << 32)
+        x = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return -np.log((((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53)
+
+    @classmethod
+    def start(cls, t: int, vocabulary: int, seed: int) -> Topics:
+        spans = (np.arange(at, min(at + SPAN, vocabulary)) for at in range(0, vocabulary, SPAN))
+        return cls(tuple(sum((cls.drawn(w, t, seed).sum(1) for w in spans), np.zeros(t))), vocabulary, seed)
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Topics x words, for sorted words."""
+        total = np.array(self.total)[:, None]
+        if self.dense is not None:
+            found = self.dense[:, words]
+        elif self.path:
+            found = np.empty((len(total), len(words)))
+            span, at = np.unique(words // SPAN, return_index=True)
+            for k, rows in zip(span, np.split(np.arange(len(words)), at[1:]), strict=False):
+                found[:, rows] = np.load(f"{self.path}-{k}.npy", mmap_mode="r")[:, words[rows] - k * SPAN]
+        else:
+            found = self.drawn(words, len(total), self.seed)
+        return (found + self.least) / (total + self.least * self.vocabulary)
+
+
+def _mounted(spark: SparkSession) -> str | None:
+    """A new folder beneath the checkpoints, which the driver and all executors share; None where these are not mounted."""
+    url = urlparse(spark.sparkContext.getCheckpointDir() or "none:")
+    if url.scheme not in ("", "file"):
+        return None
+    path = os.path.join(url.path, f"quern-lda-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 @dataclass
 class LDA:
-    """Variational EM on documents (words array<int>), words numbered below `vocabulary`."""
+    """Variational EM on documents (words array<int>), words numbered below `vocabulary`. The sums that a round adds
+    up for words stay with the workers, as files of SPAN words in the shared folder; topics tells them. Only where that
+    folder is not mounted does the driver gather them, topics x vocabulary numbers."""
 
     t: int
     vocabulary: int
     seed: int = 0
     alpha: np.ndarray | None = None
     bounds: list[float] = field(default_factory=list)
+    topics: Topics | None = None
 
     def train(self, docs: DataFrame, max_iter: int = 10, tol: float = 5.0, inner: int = 20) -> LDA:
-        rng = np.random.default_rng(self.seed)
         self.alpha = np.full(self.t, 1.0)
-        self.beta = rng.dirichlet(np.ones(self.vocabulary), self.t)
-        for _ in range(max_iter):
-            stats = self._e_step(docs, inner)
-            self.bounds.append(float(stats[0]))
-            dg, n_docs = stats[2 : 2 + self.t], float(stats[1])
-            beta = stats[2 + self.t :].reshape(self.t, self.vocabulary) + 1e-9
-            self.beta = beta / beta.sum(1, keepdims=True)
+        self.topics, folder = Topics.start(self.t, self.vocabulary, self.seed), _mounted(docs.sparkSession)
+        for k in range(max_iter):
+            before = self.topics.path
+            bound, n_docs, dg = self._e_step(docs, inner, folder and f"{folder}/{k}")
+            for old in glob.glob(f"{glob.escape(before)}-*.npy") if before else ():
+                os.remove(old)
+            self.bounds.append(bound)
             self._newton(dg, n_docs)
             if len(self.bounds) > 1 and abs(self.bounds[-1] - self.bounds[-2]) < tol:
                 break
         return self
 
-    def _e_step(self, docs: DataFrame, inner: int) -> np.ndarray:
-        alpha, beta, t, v = self.alpha, self.beta, self.t, self.vocabulary
+    def _e_step(self, docs: DataFrame, inner: int, path: str | None) -> tuple[float, float, np.ndarray]:
+        """The bound, the number of documents with words, and what alpha's step needs; topics become those of the sums."""
+        alpha, topics, t, v = self.alpha[:, None], self.topics, self.t, self.vocabulary
+        names = [f"s{k}" for k in range(t)]
+        schema = "word long, " + ", ".join(f"{c} double" for c in names)
+        rows = lambda words, s: pd.DataFrame(dict(zip(names, s, strict=True))).assign(word=words)[["word", *names]]
+
+        def step(b: np.ndarray, n: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            of = lambda gamma: digamma(gamma) - digamma(gamma.sum(0, keepdims=True))
+            gamma = alpha + np.add.reduceat(n, first) / t
+            for _ in range(inner):
+                phi = b * np.exp(of(gamma))[:, doc] + 1e-100
+                phi /= phi.sum(0)
+                gamma = alpha + np.add.reduceat(phi * n, first, axis=1)
+            e = of(gamma)
+            bound = len(first) * (math.lgamma(alpha.sum()) - lgamma(alpha).sum()) + ((alpha - gamma) * e).sum() + (n * (phi * (e[:, doc] + np.log(b + 1e-100) - np.log(phi)))).sum()
+            return bound + lgamma(gamma).sum() - lgamma(gamma.sum(0)).sum(), e.sum(1), phi * n
 
         def run(batches):
-            total = np.zeros(2 + t + t * v)
+            bound, n_docs, dg = 0.0, 0, np.zeros(t)
             for pdf in batches:
-                for words in pdf["words"]:
-                    w, n = np.unique(np.asarray(words, dtype=int), return_counts=True)
-                    if not len(w):
+                size = pdf["words"].str.len().to_numpy()
+                for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(size) // TOKENS)) + 1):
+                    flat = np.concatenate([np.zeros(0, np.int64), *pdf["words"].iloc[part]]).astype(np.int64)
+                    if not len(flat):
                         continue
-                    gamma = alpha + n.sum() / t
-                    for _ in range(inner):
-                        phi = beta[:, w] * np.exp(digamma(gamma) - digamma(gamma.sum(keepdims=True)))[:, None] + 1e-100
-                        phi /= phi.sum(0)
-                        gamma = alpha + phi @ n
-                    e = digamma(gamma) - digamma(gamma.sum(keepdims=True))
-                    bound = math.lgamma(alpha.sum()) - lgamma(alpha).sum() + ((alpha - 1) * e).sum() + (n * (phi * (e[:, None] + np.log(beta[:, w] + 1e-100) - np.log(phi)))).sum()
-                    bound += lgamma(gamma).sum() - math.lgamma(gamma.sum()) - ((gamma - 1) * e).sum()
-                    total[0] += bound
-                    total[1] += 1
-                    total[2 : 2 + t] += e
-                    np.add.at(total[2 + t :].reshape(t, v).T, w, (phi * n).T)
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"k": some, "v": total[some]})
-
-        parts = docs.select("words").mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # topics x vocabulary rows at most
-        out = np.zeros(2 + t + t * v)
-        out[parts["k"].to_numpy(dtype=np.int64)] = parts["v"]
-        return out
+                    pair, n = np.unique(np.repeat(np.arange(len(part)), size[part]) * v + flat, return_counts=True)
+                    doc, word = np.divmod(pair, v)
+                    some, at = np.unique(word, return_inverse=True)
+                    b, n, sums = topics.of(some), n.astype(float), np.zeros((t, len(some)))
+                    first = np.flatnonzero(np.diff(doc, prepend=-1))
+                    for own in np.split(first, np.flatnonzero(np.diff(first // PAIRS)) + 1):
+                        lo, hi = own[0], first[k] if (k := np.searchsorted(first, own[-1]) + 1) < len(first) else len(doc)
+                        here = np.repeat(np.arange(len(own)), np.diff(np.append(own, hi)))
+                        x, e, phi = step(b[:, at[lo:hi]], n[lo:hi], here, own - lo)
+                        bound, n_docs, dg = bound + x, n_docs + len(own), dg + e
+                        for s, p in zip(sums, phi, strict=True):
+                            s += np.bincount(at[lo:hi], weights=p, minlength=len(some))
+                    yield rows(some, sums)
+            # of no word: the bound, the documents, and the sums over them
+            yield rows([-1, -2, -3], np.stack([np.full(t, bound), np.full(t, float(n_docs)), dg], axis=1))
+
+        def save(pdf: pd.DataFrame) -> pd.DataFrame:
+            word, s = pdf["word"].to_numpy(), pdf[names].to_numpy().T
+            if word[0] < 0:
+                return pdf
+            k = word[0] // SPAN
+            held = np.zeros((t, min(SPAN, v - k * SPAN)))
+            held[:, word - k * SPAN] = s
+            with open(tmp := f"{path}-{k}.{uuid.uuid4().hex}.tmp", "wb") as f:
+                np.save(f, held)
+            os.replace(tmp, f"{path}-{k}.npy")
+            return rows([-4], s.sum(1, keepdims=True))
+
+        out = docs.select("words").mapInPandas(run, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+        if path:
+            out = out.groupBy(F.floor(F.col("word") / SPAN)).applyInPandas(save, schema)
+        found = out.toPandas()  # a row for each SPAN words
+        word, s = found["word"].to_numpy(), found[names].to_numpy().T
+        head = {int(w): x for w, x in zip(word, s.T, strict=True) if -4 < w < 0}
+        if path:
+            dense, total = None, s[:, word == -4].sum(1)
+        else:
+            dense = np.zeros((t, v))
+            dense[:, word[word >= 0]] = s[:, word >= 0]
+            total = dense.sum(1)
+        self.topics = Topics(tuple(total), v, self.seed, path or "", dense, 1e-9)
+        none = np.zeros(t)
+        return float(head.get(-1, none)[0]), float(head.get(-2, none)[0]), head.get(-3, none)
 
     def _newton(self, dg: np.ndarray, n_docs: float, rounds: int = 10) -> None:
         tri = lambda x: (digamma(x + 1e-4) - digamma(x - 1e-4)) / 2e-4
