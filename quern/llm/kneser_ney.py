@@ -170,11 +170,18 @@ def _joined(pdf: pd.DataFrame, width: int, per: int = 1) -> tuple[list[np.ndarra
     return _distinct([np.concatenate([p[0][k] for p in parts]) for k in range(width)], np.concatenate([p[1] for p in parts]))
 
 
-def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None, bits: int = 32) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct rows and the sums of their counts (of ones, if there are none). Columns are taken in one by
-    one: the rank of what stands left of a column, and the column, make one 64-bit number that sorts as the rows do."""
+    one: the rank of what stands left of a column, and the column, make one 64-bit number that sorts as the rows do.
+    Rows without counts whose numbers have so few bits that all fit into one number are sorted once."""
     if not len(columns[0]):
         return columns, np.zeros(0, np.int64) if counts is None else counts
+    if counts is None and bits * len(columns) <= 64:
+        code = columns[0].astype(U64)
+        for c in columns[1:]:
+            code = code << U64(bits) | c
+        code, total = np.unique(code, return_counts=True)
+        return [(code >> U64(bits * k) & U64((1 << bits) - 1)).astype(np.uint32) for k in reversed(range(len(columns)))], total
     code, ranked = columns[0].astype(U64), []
     for k, c in enumerate(columns[1:]):
         if k:
@@ -294,17 +301,19 @@ def _count_grams(texts: DataFrame, m: Model, order: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         look = _lookup(m)
         for held in _folds(batches):
-            ids, seen = look.words(np.concatenate(held))
-            p, left = _padded(held, ids, m.vocabulary)
-            c, _ = _padded(held, np.minimum(seen, UNKNOWN), UNKNOWN)  # a begin is as frequent as can be
+            known, seen, rank = look.words(np.concatenate(held))
+            p, left = _padded(held, rank, len(known))  # places of words here, which are in the order of their numbers
+            known = np.append(known, np.uint32(m.vocabulary))
+            c = np.append(np.minimum(seen, UNKNOWN), UNKNOWN)[p]  # a begin is as frequent as can be
             rows = np.flatnonzero(left >= order)
             hot = _spread(c, rows, order - 1, m.frequent)
             for kind, own in ((GRAMS, rows[~hot]), (SPREAD, rows[hot])):
-                columns, n = _distinct([p[own + k] for k in range(order)])
+                columns, n = _distinct([p[own + k] for k in range(order)], bits=len(seen).bit_length())
+                columns = [known[x] for x in columns]
                 yield _pieces(kind, columns, n, _shard(_key(columns if kind == SPREAD else columns[:-1]), m.shards))
             starts = np.flatnonzero(np.concatenate([[True], left[1:] > left[:-1]]))
             for k in range(2, order):
-                columns, n = _distinct([p[starts[left[starts] >= k] + j] for j in range(k)])
+                columns, n = _distinct([known[p[starts[left[starts] >= k] + j]] for j in range(k)])
                 yield _pieces(COUNTS + k, columns, n, _shard(_key(columns), m.shards))
 
     return texts.mapInPandas(count, PIECES)
@@ -502,8 +511,9 @@ class Lookup:
         ids, at = np.unique(shard[order], return_index=True)
         return zip(map(int, ids), np.split(order, at[1:]) if len(ids) else [], strict=True)
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and training counts of words; UNKNOWN and 0 where training has not seen them."""
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and training counts of the distinct words, in the order of their numbers, and for every word its
+        place among them; UNKNOWN and 0, at the end, where training has not seen them."""
         distinct, _, back = _groups(hashes)
         ids, counts = np.full(len(distinct), UNKNOWN, dtype=np.uint32), np.zeros(len(distinct), dtype=np.int64)
         for s, rows in self._by_shard(_shard(distinct, self.m.word_shards)):
@@ -512,7 +522,10 @@ class Lookup:
                 rows, k = rows[k >= 0], k[k >= 0]
                 counts[rows] = a["counts"][k]
                 ids[rows] = self.first[s, _classes(counts[rows])] + a["place"][k]
-        return ids[back], counts[back]
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), dtype=np.uint32)
+        place[order] = np.arange(len(ids), dtype=np.uint32)
+        return ids[order], counts[order], place[back]
 
     def _contexts(self, name: str, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By code: how often contexts of m words occur, how many words follow them, and the share that all of these
@@ -573,13 +586,15 @@ class Lookup:
     def logs(self, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the tokens of texts: log10 probabilities, base log10 probabilities, training counts."""
         m = self.m
-        ids, word = self.words(np.concatenate(held))
-        base = np.log10((word + 0.1) / (m.train_tokens + 0.1 * (m.vocabulary + 1)))
-        p, left = _padded(held, ids, m.vocabulary)
-        seen, _ = _padded(held, np.minimum(word, UNKNOWN), UNKNOWN)
+        known, times, rank = self.words(np.concatenate(held))
+        word = times[rank]
+        base = np.log10((times + 0.1) / (m.train_tokens + 0.1 * (m.vocabulary + 1)))[rank]
+        place, left = _padded(held, rank, len(known))  # a begin stands after all words
+        known, times = np.append(known, np.uint32(m.vocabulary)), np.append(np.minimum(times, UNKNOWN), UNKNOWN).astype(np.uint32)
+        p, seen = known[place], times[place]
         token = np.concatenate([[False], left[1:] < left[:-1]])  # all places but the begins
         d = np.array([0.0, *m.low_discounts])
-        counts, *above = self.grams([p])  # of the words that end at each place
+        counts, *above = (x[place] for x in self.grams([known]))  # of the words that end at each place
         uniform = 1.0 / (m.vocabulary + 1)
         if m.low_total:
             prob = (counts - d[np.minimum(counts, 3)]) / m.low_total + np.dot(m.low_discounts, m.low_kinds) / m.low_total * uniform
